@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import licenses, sharding
 
 _QUERIES = {
+    "op1_license_scan": licenses.query,
     "op3_jump_hash_sharding": sharding.query,
 }
 _ORACLES: dict[str, str] = {}
