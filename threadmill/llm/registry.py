@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding
+from . import licenses, sharding, urls
 
 _QUERIES = {
     "op1_license_scan": licenses.query,
+    "op9_url_reputation": urls.query,
     "op3_jump_hash_sharding": sharding.query,
 }
 _ORACLES: dict[str, str] = {}
