@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding, urls
+from . import decontaminate, licenses, sharding, urls
 
 _QUERIES = {
     "op1_license_scan": licenses.query,
+    "op5_wu_manber_decontamination": decontaminate.query,
     "op9_url_reputation": urls.query,
     "op3_jump_hash_sharding": sharding.query,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op5_wu_manber_decontamination": decontaminate.SQL,
+}
 
 
 def queries() -> dict:
