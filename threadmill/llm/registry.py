@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, sharding, urls
+from . import bpe, decontaminate, licenses, sharding, urls
 
 _QUERIES = {
     "op1_license_scan": licenses.query,
     "op5_wu_manber_decontamination": decontaminate.query,
+    "op7_pair_index_bpe": bpe.query,
     "op9_url_reputation": urls.query,
     "op3_jump_hash_sharding": sharding.query,
 }
