@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, sharding, urls
+from . import bpe, chat, decontaminate, licenses, sharding, urls
 
 _QUERIES = {
     "op1_license_scan": licenses.query,
     "op5_wu_manber_decontamination": decontaminate.query,
     "op7_pair_index_bpe": bpe.query,
+    "op8_typed_chat_format": chat.query,
     "op9_url_reputation": urls.query,
     "op3_jump_hash_sharding": sharding.query,
 }
 _ORACLES: dict[str, str] = {
     "op5_wu_manber_decontamination": decontaminate.SQL,
+    "op8_typed_chat_format": chat.SQL,
 }
 
 
