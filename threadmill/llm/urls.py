@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: (host, path, verdict): fits the host and its subdomains where the path starts so; the longest wins.
 RULES = (
@@ -60,19 +60,17 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _posterior(groups: DataFrame, mean: str) -> DataFrame:
-    """Add ``strength`` of the level's prior, and ``a`` and ``b`` of each group's posterior."""
+    """Add ``a`` and ``b`` of each group's posterior; the level's prior strength is one number for all."""
     m = F.greatest(F.least(F.col(mean), F.lit(0.999)), F.lit(0.001))
     seen = groups.where("n > 0").select(F.col("n").cast("double").alias("n"), (F.col("good") / F.col("n")).alias("rate"), m.alias("m"))
-    spread = seen.agg(
-        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-        F.sum(F.col("n") * (F.col("rate") - F.col("m")) * (F.col("rate") - F.col("m")) / (F.col("m") * (1 - F.col("m")))).alias("chi"),
-    )
-    room = F.col("total") - F.col("squares") / F.nullif(F.col("total"), F.lit(0.0))
-    rho = F.greatest((F.col("chi") - (F.col("k") - 1)) / F.nullif(room - (F.col("k") - 1), F.lit(0.0)), F.lit(1e-4))
-    strength = F.greatest(F.least(F.coalesce(1 / rho - 1, F.lit(MAX_STRENGTH)), F.lit(MAX_STRENGTH)), F.lit(MIN_STRENGTH))
-    one = spread.select(F.lit(1).alias("one"), strength.alias("strength"))  # a single row
-    joined = groups.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").drop("one")
-    return joined.withColumn("a", F.col("strength") * m + F.col("good")).withColumn("b", F.col("strength") * (1 - m) + F.col("n") - F.col("good"))
+    k, total, squares, chi = seen.agg(
+        F.count("*"), F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)),
+        F.coalesce(F.sum(F.col("n") * (F.col("rate") - F.col("m")) * (F.col("rate") - F.col("m")) / (F.col("m") * (1 - F.col("m")))), F.lit(0.0)),
+    ).first()
+    room = total - squares / total - (k - 1) if total else 0.0
+    rho = max((chi - (k - 1)) / room, 1e-4) if room > 0 else 1e-4
+    strength = min(max(1 / rho - 1, MIN_STRENGTH), MAX_STRENGTH)
+    return groups.withColumn("a", strength * m + F.col("good")).withColumn("b", strength * (1 - m) + F.col("n") - F.col("good"))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -87,11 +85,11 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         .groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     )
     domain, suffix = registered_domain(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = cut(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = suffixes.agg(F.lit(1).alias("one"), ((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m_all"))
-    suffixes = _posterior(suffixes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one"), "m_all").select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m_suffix"))
+    good, n = suffixes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    suffixes = _posterior(suffixes.withColumn("m_all", F.lit((good + 1) / (n + 2))), "m_all").select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m_suffix"))
     domains = _posterior(domains.join(suffixes, "suffix"), "m_suffix").select("domain", "suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m_domain"))
     posterior = _posterior(hosts.join(domains, ["domain", "suffix"]), "m_domain")
     a, b = F.col("a"), F.col("b")
