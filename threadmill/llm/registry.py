@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, licenses, quality, sharding, urls
+from . import bpe, chat, decontaminate, html_main, licenses, quality, sharding, urls
 
 _QUERIES = {
     "op1_license_scan": licenses.query,
     "op4_attention_mil_quality": quality.query,
     "op5_wu_manber_decontamination": decontaminate.query,
+    "op6_min_cut_html": html_main.query,
     "op7_pair_index_bpe": bpe.query,
     "op8_typed_chat_format": chat.query,
     "op9_url_reputation": urls.query,
