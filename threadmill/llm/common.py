@@ -19,12 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; one of our own only where none is set."""
+    own = spark.sparkContext.getCheckpointDir()
+    if own is None:
         own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadmill-checkpoint-")
         spark.sparkContext.setCheckpointDir(own)
+        own = spark.sparkContext.getCheckpointDir()
+    return own
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

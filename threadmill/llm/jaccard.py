@@ -141,8 +141,8 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.view(np.int64))), int(np.int64((b + np.uint64(len(grams))).view(np.int64)))
 
 
-def _profiles(read: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row of ``read`` (row, doc_id, text): row, doc_id, n, sig_a, sig_b, prefix, sketch."""
+def _profiles(read: DataFrame, n: int, percent: int, keep: list[str]) -> DataFrame:
+    """Per row of ``read`` (row, doc_id, text, ``keep``): row, doc_id, ``keep``, n, sig_a, sig_b, prefix, sketch."""
     sent = read.sparkSession.sparkContext.broadcast(_frequent(read, n))
     least = -(-percent // (100 - percent)) if percent < 100 else None  # smaller sets link with equal ones alone
 
@@ -161,12 +161,12 @@ def _profiles(read: DataFrame, n: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig_a, pa.int64()), pa.array(sig_b, pa.int64()), lists, pa.array(sketch, pa.binary())],
-                names=["row", "doc_id", "n", "sig_a", "sig_b", "prefix", "sketch"],
+                [batch.column("row"), batch.column("doc_id"), *(batch.column(c) for c in keep), pa.array(size, pa.int64()), pa.array(sig_a, pa.int64()), pa.array(sig_b, pa.int64()), lists, pa.array(sketch, pa.binary())],
+                names=["row", "doc_id", *keep, "n", "sig_a", "sig_b", "prefix", "sketch"],
             )
 
-    kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(run, f"row long, doc_id {kind}, n long, sig_a long, sig_b long, prefix array<long>, sketch binary")
+    kinds = "".join(f"`{c}` {read.schema[c].dataType.simpleString()}, " for c in ["doc_id", *keep])
+    return read.mapInArrow(run, f"row long, {kinds}n long, sig_a long, sig_b long, prefix array<long>, sketch binary")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[tuple]]:
@@ -402,8 +402,8 @@ def _links(read: DataFrame, classes: DataFrame, percent: int, n: int, max_group:
     return connected_components(links)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP_NGRAMS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False, max_group: int = MAX_GROUP_NGRAMS) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, and with ``text_key`` a hash of the text.
 
     Texts link if the Jaccard similarity of their n-gram sets is at least ``percent`` hundredths, and
     equal sets always do. ``component_id`` is the least id reachable by links. A text of fewer words
@@ -411,19 +411,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     component. Repeated rows are members of one class. A null id is carried along but names no
     component while there is another one. Other columns are ignored.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
-    profiles = cut(_profiles(read.withColumn("row", F.monotonically_increasing_id()), n, percent))
+    keep = ["text_key"] if text_key else []
+    text = clean_text(F.col(text_col))
+    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias(c) for c in keep])
+    profiles = cut(_profiles(read.withColumn("row", F.monotonically_increasing_id()), n, percent, keep))
     some = profiles.where("n > 0")
     classes = some.groupBy("sig_a", "sig_b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
-    firsts = cut(some.join(classes.select("rep", "least_id"), F.col("row") == F.col("rep"), "inner").drop("rep", "doc_id"))
+    firsts = cut(some.drop("doc_id", *keep).join(classes.select("rep", "least_id"), F.col("row") == F.col("rep")).drop("rep"))
     linked = _links(read, firsts.where(F.size("prefix") > 0), percent, n, max_group)
     ids = firsts.select(F.col("row").alias("node"), "sig_a", "sig_b", "least_id")
     linked = cut(ids.join(linked, "node"))
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = linked.join(least, "component").select("node", "component_id")
     by_class = ids.join(named, "node", "left").select("sig_a", "sig_b", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = some.select("doc_id", "n", "sig_a", "sig_b").join(by_class, ["sig_a", "sig_b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = some.select("doc_id", *keep, "n", "sig_a", "sig_b").join(by_class, ["sig_a", "sig_b"]).select("doc_id", *keep, F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(profiles.where("n = 0").select("doc_id", *keep, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

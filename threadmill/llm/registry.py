@@ -22,8 +22,14 @@ _ORACLES: dict[str, str] = {
 }
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**_QUERIES, "pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
