@@ -1 +1,330 @@
+"""Queries of matching: similarity, candidates, evidence, results, de-duplication and reports.
 
+Stand-ins: a candidate search for an order finds the customers of the same block of four keys; a
+customer's works are its orders, and a work's title vector is the embedding of its key's residue. A
+customer's display name is a part name; a supplier's works are the parts it supplies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..catalog import query
+from ..config import MatchConfig
+from ..functions import categories as C
+from ..functions.vectors import cosine
+from ..operators import people as P
+from ..operators import relational as R
+from ..operators import resolution as M
+from ..operators.similarity import ngram_similarity
+from .tables import LINE_ORDER, pairs, table
+
+_REF = "ref AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label)"
+_SIM = f"WITH {_REF}, sim AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], ref::DOUBLE[]) AS similarity FROM embeddings JOIN ref USING (label))"
+
+
+def _similarities(spark, sf_dir) -> DataFrame:
+    """Cosine of each vector with its label's reference: the vector of the least id."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
+    return e.join(ref, "label").select("vec_id", "label", cosine(F.col("embedding"), F.col("ref")).alias("similarity"))
+
+
+@query(f"{_SIM} SELECT label, vec_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY label ORDER BY round(similarity, 6) DESC, vec_id)::INT AS place FROM sim QUALIFY place <= 10")
+def cosine_topk(spark, sf_dir):
+    s = _similarities(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc_nulls_last("similarity"), "vec_id"))
+    return s.withColumn("place", place).where("place <= 10").select("label", "vec_id", "similarity", "place")
+
+
+@query(f"{_SIM} SELECT label, count(*) FILTER (round(similarity, 6) >= 0.99) AS n_exact, count(*) FILTER (round(similarity, 6) >= 0.9) AS n_near, count(*) FILTER (round(similarity, 6) >= 0.7) AS n_close, round(max(similarity), 6) AS best FROM sim GROUP BY label")
+def similarity_tiers(spark, sf_dir):
+    s = _similarities(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+    t = M.tiers(F.col("similarity"))
+    return s.groupBy("label").agg(*[F.count_if(t[c]).alias(o) for c, o in (("exact_match", "n_exact"), ("near_exact_match", "n_near"), ("close_match", "n_close"))], F.max("similarity").alias("best"))
+
+
+@query()
+def title_similarity_ngram(spark, sf_dir):
+    """Each document's first line against the benchmark item of its id's residue."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", "\n", 1).alias("reference"))
+    n = items.agg(F.max("item_id")).first()[0] + 1
+    joined = docs.join(items, F.pmod(F.col("doc_id"), F.lit(n)) == F.col("item_id"))
+    return ngram_similarity(joined, "title", "reference").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT o_orderkey AS integer_id, l_partkey AS work_id, year(l_shipdate)::INT AS publication_year FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(l_shipdate) <= year(o_orderdate) + 1")
+def works_year_window(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("work_id"), F.year("l_shipdate").alias("publication_year"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("integer_id"), F.year("o_orderdate").alias("year"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("integer_id"))
+    return M.works_in_window(joined, "publication_year", "year").select("integer_id", "work_id", "publication_year")
+
+
+_SUPPLIER_AFFILIATIONS = "sa AS (SELECT DISTINCT l_suppkey, n_name AS institution, r_name AS country, year(l_shipdate) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber = 7 AND l_quantity > 45)"
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("institution"), F.col("r_name").alias("country"))
+
+
+def _affiliations(long: DataFrame, key: str) -> DataFrame:
+    """Nested affiliations of (key, institution, country, year) rows."""
+    by_place = long.groupBy(key, "institution", "country").agg(F.sort_array(F.collect_set("year")).alias("years"))
+    nested = F.struct(F.struct(F.col("institution").alias("display_name"), F.col("country").alias("country_code")).alias("institution"), "years")
+    return by_place.groupBy(key).agg(F.sort_array(F.collect_list(nested)).alias("affiliations"))
+
+
+def _supplier_affiliations(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity > 45").select("l_suppkey", F.year("l_shipdate").alias("year")).distinct()
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    return _affiliations(lines.join(suppliers, "l_suppkey").join(_nations(spark, sf_dir), "n_nationkey"), "l_suppkey")
+
+
+@query(f"""WITH {_SUPPLIER_AFFILIATIONS} SELECT l_suppkey, y0::INT AS year,
+  count(*) FILTER (y BETWEEN y0 - 1 AND y0) > 0 AS matches, coalesce(max(institution) FILTER (y BETWEEN y0 - 1 AND y0 AND country = 'ASIA'), '') AS institutions
+FROM sa, (VALUES (1996), (1998), (2000)) v(y0) GROUP BY l_suppkey, y0""")
+def affiliation_window(spark, sf_dir):
+    rows = _supplier_affiliations(spark, sf_dir).withColumn("year", F.explode(F.array(*[F.lit(y) for y in (1996, 1998, 2000)])))
+    own = F.col("affiliations")[0]["institution"]["display_name"]
+    return rows.select("l_suppkey", "year", M.affiliation_match(F.col("affiliations"), own, F.col("year"), -1).alias("matches"), F.array_join(M.target_institutions(F.col("affiliations"), F.col("year"), -1, "ASIA"), "|").alias("institutions"))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS cust, l_suppkey AS supp, l_partkey AS doi FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+p AS (SELECT DISTINCT cust, supp FROM a), mine AS (SELECT DISTINCT cust, doi FROM a WHERE doi % 5 <> 0), theirs AS (SELECT DISTINCT supp, doi FROM a WHERE doi % 3 <> 0)
+SELECT p.cust, p.supp, count(*) AS n_shared FROM p JOIN mine USING (cust) JOIN theirs ON theirs.supp = p.supp AND theirs.doi = mine.doi GROUP BY ALL""")
+def shared_publications(spark, sf_dir):
+    """Parts a customer bought that a supplier of its supplies."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
+    bought = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("doi")).join(orders, "o_orderkey")
+    both = bought.select("cust", "supp").distinct()
+    mine = both.join(bought.where("doi % 5 <> 0").select("cust", "doi").distinct(), "cust").select(F.struct("cust", "supp").alias("pair"), "doi")
+    theirs = both.join(bought.where("doi % 3 <> 0").select("supp", "doi").distinct(), "supp").select(F.struct("cust", "supp").alias("pair"), "doi")
+    return M.shared_publications(mine, theirs).groupBy("pair").agg(F.count("*").alias("n_shared")).select("pair.cust", "pair.supp", "n_shared")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS pair, nullif(l_linenumber, 3) AS doi FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey AS pair, nullif(l_linenumber, 3) AS doi FROM lineitem WHERE l_returnflag = 'R')
+SELECT a.pair, count(*) AS n_shared FROM a JOIN b ON a.pair = b.pair AND a.doi IS NOT DISTINCT FROM b.doi GROUP BY ALL""")
+def shared_publications_null_doi(spark, sf_dir):
+    """With a null DOI as one that all share."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("pair"), F.nullif("l_linenumber", F.lit(3)).alias("doi"))
+    shared = M.shared_publications(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), MatchConfig(ignore_null_doi=False))
+    return shared.groupBy("pair").agg(F.count("*").alias("n_shared"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, s_nationkey AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT o_orderkey, count(*) AS n_shared, string_agg(n_name, '|' ORDER BY n_name) AS shared FROM orders JOIN customer ON o_custkey = c_custkey JOIN s ON l_orderkey = o_orderkey AND k // 5 = c_nationkey // 5 JOIN nation ON n_nationkey = k GROUP BY ALL""")
+def shared_affiliations(spark, sf_dir):
+    """Nations of an order's suppliers in the customer's block of five."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    theirs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(table(spark, sf_dir, "supplier"), "s_suppkey").select("l_orderkey", F.col("s_nationkey").alias("k")).distinct().join(nations, "k")
+    sets = theirs.groupBy("l_orderkey").agg(F.collect_set("n_name").alias("theirs"))
+    block = nations.groupBy((F.col("k") / 5).cast("int").alias("block")).agg(F.collect_set("n_name").alias("mine"))
+    mine = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", (F.col("c_nationkey") / 5).cast("int").alias("block")).join(block, "block")
+    shared = F.sort_array(F.array_intersect("mine", "theirs"))
+    return mine.join(sets, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", shared.alias("s")).where(F.size("s") > 0).select("o_orderkey", F.size("s").cast("long").alias("n_shared"), F.array_join("s", "|").alias("shared"))
+
+
+@query("""SELECT c_nationkey, arg_max(c_custkey, (n, r)) AS best, max(n)::BIGINT AS score, count(*) AS n_candidates FROM (
+  SELECT c_nationkey, c_custkey, -c_custkey AS r, (c_acctbal > 0)::INT * 50 + (c_acctbal > 2000)::INT * 20 + (c_mktsegment = 'BUILDING')::INT * 20 + c_custkey % 3 AS n FROM customer) GROUP BY c_nationkey""")
+def candidate_top1(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("integer_id"), F.col("c_custkey").alias("author_id"), F.col("c_custkey").alias("api_rank"), (F.col("c_custkey") % 3).alias("n_close_matches"),
+        (F.col("c_acctbal") > 0).alias("exact_match"), (F.col("c_acctbal") > 2000).alias("near_exact_match"), (F.col("c_mktsegment") == "BUILDING").alias("affiliation_match"), F.lit(None).cast("double").alias("max_similarity"),
+    ).withColumn("match_score", M.match_score())
+    counts = rows.groupBy("integer_id").agg(F.count("*").alias("n_candidates"))
+    best = M.best_candidate(rows).join(counts, "integer_id")
+    return best.select(F.col("integer_id").alias("c_nationkey"), F.col("author_id").alias("best"), F.col("match_score").cast("long").alias("score"), "n_candidates")
+
+
+# --- resolution from end to end -------------------------------------------------------------------
+
+_RESOLVE_SQL = """n_parts AS (SELECT max(p_partkey) + 1 AS n FROM part), n_vec AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+people AS (SELECT c_custkey, c_nationkey, n_name AS institution, p_name AS display_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'O' || c_custkey // 8 END AS orcid FROM customer JOIN nation ON c_nationkey = n_nationkey, n_parts JOIN part ON p_partkey = c_custkey % n_parts.n),
+theses AS (SELECT o_orderkey AS integer_id, o_custkey, year(o_orderdate) AS year, display_name AS phd_name, institution FROM orders JOIN people ON o_custkey = c_custkey),
+hits AS (SELECT t.*, p.c_custkey AS author_id, p.display_name, p.orcid, p.institution AS their_institution, p.c_custkey % 4 AS api_rank FROM theses t JOIN people p ON p.c_custkey // 4 = t.o_custkey // 4),
+counts AS (SELECT integer_id, count(*) AS n_name_search_matches FROM hits GROUP BY integer_id),
+cand AS (SELECT *, (their_institution = institution AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = author_id AND year(o.o_orderdate) BETWEEN hits.year - 4 AND hits.year))::BOOLEAN AS affiliation_match
+  FROM hits WHERE upper(left(phd_name, 1)) = upper(left(display_name, 1)) AND upper(split_part(phd_name, ' ', 2)) = upper(split_part(display_name, ' ', 2))),
+works AS (SELECT c.integer_id, c.author_id, o.o_orderkey AS work_id, round(list_cosine_similarity(e1.embedding::DOUBLE[], e2.embedding::DOUBLE[]), 6) AS similarity
+  FROM cand c JOIN orders o ON o.o_custkey = c.author_id, n_vec JOIN embeddings e1 ON e1.vec_id = c.integer_id % n_vec.n JOIN embeddings e2 ON e2.vec_id = o.o_orderkey % n_vec.n WHERE year(o.o_orderdate) <= c.year + 1),
+ev AS (SELECT integer_id, author_id, max(similarity) AS max_similarity, count(*) FILTER (similarity >= 0.7) AS n_close FROM works GROUP BY ALL),
+scored AS (SELECT cand.*, coalesce(max_similarity, 0) AS max_similarity, coalesce(n_close, 0) AS n_close_matches,
+  coalesce(n_close, 0) + 50 * (coalesce(max_similarity, 0) >= 0.99)::INT + 20 * (coalesce(max_similarity, 0) >= 0.9)::INT + 20 * affiliation_match::INT AS match_score FROM cand LEFT JOIN ev USING (integer_id, author_id)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY integer_id ORDER BY match_score DESC, max_similarity DESC, api_rank, author_id) = 1)"""
+
+
+def _people(spark, sf_dir) -> DataFrame:
+    """Customers as authors: author_id, display_name, orcid, institution, country."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n = parts.agg(F.max("p_partkey")).first()[0] + 1
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    named = customers.join(parts, F.col("c_custkey") % n == F.col("p_partkey")).join(F.broadcast(_nations(spark, sf_dir)), "n_nationkey")
+    orcid = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("O"), F.floor(F.col("c_custkey") / 8).cast("string")))
+    return named.select(F.col("c_custkey").alias("author_id"), F.col("p_name").alias("display_name"), orcid.alias("orcid"), "institution", "country")
+
+
+def _theses(spark, sf_dir) -> DataFrame:
+    people = _people(spark, sf_dir).select(F.col("author_id").alias("o_custkey"), F.col("display_name").alias("phd_name"), "institution")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("integer_id"), "o_custkey", F.year("o_orderdate").alias("year"))
+    return orders.join(people, "o_custkey").select("integer_id", F.concat(F.lit("thesis:"), F.col("integer_id").cast("string")).alias("thesis_identifier"), "institution", "phd_name", F.col("integer_id").cast("string").alias("title"), "year", "o_custkey")
+
+
+def _resolve(spark, sf_dir) -> DataFrame:
+    people = _people(spark, sf_dir)
+    own_years = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("author_id"), F.year("o_orderdate").alias("year")).distinct()
+    authors = people.join(_affiliations(own_years.join(people.select("author_id", "institution", "country"), "author_id"), "author_id"), "author_id", "left").select("author_id", "display_name", "orcid", "affiliations")
+    block = lambda c: F.floor(F.col(c) / 4)
+    theses = _theses(spark, sf_dir)
+    # the search service is asked by a query string: here the block of the candidate's key, next to the name
+    asked = theses.withColumn("phd_name", F.concat_ws("\t", "phd_name", block("o_custkey").cast("string")))
+    queries = asked.select(F.col("phd_name").alias("query_name"), block("o_custkey").alias("b")).distinct()
+    search = queries.join(people.select("author_id", block("author_id").alias("b"), (F.col("author_id") % 4).alias("api_rank")), "b").drop("b")
+    pairs_ = P.name_match_join(people, people, "display_name", "display_name")
+    by_query = queries.select("query_name", F.split_part(F.col("query_name"), F.lit("\t"), F.lit(1)).alias("left_name")).join(pairs_, "left_name").select(F.col("query_name").alias("left_name"), "right_name")
+    orders = table(spark, sf_dir, "orders")
+    authorships = orders.select(F.col("o_custkey").alias("author_id"), F.col("o_orderkey").alias("work_id"))
+    works = orders.select(F.col("o_orderkey").alias("work_id"), F.col("o_orderkey").cast("string").alias("title"), F.year("o_orderdate").alias("publication_year"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg(F.max("vec_id")).first()[0] + 1
+
+    def similarity(rows: DataFrame) -> DataFrame:
+        a = vectors.select(F.col("vec_id").alias("_a"), F.col("embedding").alias("_ea"))
+        b = vectors.select(F.col("vec_id").alias("_b"), F.col("embedding").alias("_eb"))
+        both = rows.join(a, F.col("integer_id") % n == F.col("_a")).join(b, F.col("work_id") % n == F.col("_b"))
+        return both.withColumn("similarity", F.round(cosine(F.col("_ea"), F.col("_eb")), 6)).drop("_a", "_b", "_ea", "_eb")
+
+    return M.resolve_candidates(asked, search, by_query, authors, authorships, works, similarity)
+
+
+@query(f"WITH {_RESOLVE_SQL} SELECT integer_id, author_id, n_name_search_matches, max_similarity::DOUBLE AS max_similarity, n_close_matches::INT AS n_close_matches, affiliation_match, match_score::INT AS match_score, CASE WHEN match_score > 0 THEN 'ranking' END AS phd_match_by FROM best JOIN counts USING (integer_id)")
+def resolve_phd(spark, sf_dir):
+    return _resolve(spark, sf_dir).select("integer_id", "author_id", "n_name_search_matches", "max_similarity", "n_close_matches", "affiliation_match", F.col("match_score").cast("int").alias("match_score"), "phd_match_by")
+
+
+_SUP_SQL = _RESOLVE_SQL + f""",
+c0 AS (SELECT o_orderkey AS integer_id, s_suppkey, s_name AS contributor_name_source, row_number() OVER (PARTITION BY o_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS contributor_rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey QUALIFY contributor_rank <= 10),
+c AS (SELECT c0.*, theses.institution, theses.year, best.author_id, best.match_score > 0 AS confirmed FROM c0 JOIN theses USING (integer_id) LEFT JOIN best USING (integer_id)),
+found AS (SELECT c.*, s.s_suppkey AS cand, s.s_name AS cand_name, s.s_suppkey % 2 = c.s_suppkey % 2 AS agrees, n.n_name AS cand_institution FROM c JOIN supplier s ON s.s_suppkey // 4 = c.s_suppkey // 4 JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE confirmed),
+hits2 AS (SELECT integer_id, contributor_rank, string_agg(cand_name, '|' ORDER BY cand) AS contributor_name, coalesce(string_agg(cand_name, '|' ORDER BY cand) FILTER (agrees), '') AS name_matches FROM found GROUP BY ALL),
+shared AS (SELECT DISTINCT f.integer_id, f.contributor_rank, f.cand_institution = f.institution AS same FROM found f JOIN people p ON p.c_custkey = f.author_id WHERE agrees AND p.institution = f.cand_institution),
+pubs AS (SELECT f.integer_id, f.contributor_rank, count(DISTINCT l.l_partkey) AS n FROM found f JOIN lineitem l ON l.l_orderkey = f.integer_id JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) m ON m.l_suppkey = f.cand AND m.l_partkey = l.l_partkey WHERE agrees GROUP BY ALL),
+evidence AS (SELECT c.integer_id, c.contributor_rank::INT AS contributor_rank, c.contributor_name_source, coalesce(contributor_name, '') AS contributor_name, coalesce(name_matches, '') AS name_matches,
+  shared.same IS NOT NULL AS contributor_confirmed, CASE WHEN shared.same IS NOT NULL THEN 'Shared affiliation at graduation.' ELSE '' END AS sup_match_by, coalesce(shared.same, false) AS same_grad_inst, coalesce(pubs.n, 0)::INT AS n_shared_pubs,
+  coalesce(EXISTS (SELECT 1 FROM found f WHERE f.integer_id = c.integer_id AND f.contributor_rank = c.contributor_rank AND agrees AND cand % 10 = 0), false) AS is_sup_in_pilot_dataset
+  FROM c LEFT JOIN hits2 USING (integer_id, contributor_rank) LEFT JOIN shared USING (integer_id, contributor_rank) LEFT JOIN pubs USING (integer_id, contributor_rank))"""
+
+
+def _evidence(spark, sf_dir, best: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("integer_id").orderBy(*LINE_ORDER))
+    named = pairs(spark, sf_dir).withColumn("contributor_rank", rank).where("contributor_rank <= 10").withColumn("s", F.col("l_suppkey"))
+    confirmed = best.where("phd_match_by IS NOT NULL").select("integer_id", "author_id")
+    theses = _theses(spark, sf_dir).select("integer_id", "institution")
+    contributors = named.select("integer_id", "contributor_rank", F.col("contributor").alias("contributor_name_source"), "s").join(theses, "integer_id")
+    suppliers = table(spark, sf_dir, "supplier").join(_nations(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cand"), "s_name", F.col("institution").alias("cand_institution"))
+    hits = contributors.join(confirmed, "integer_id").withColumn("b", F.floor(F.col("s") / 4)).join(suppliers.withColumn("b", F.floor(F.col("cand") / 4)), "b")
+    hits = hits.withColumn("name_agrees", F.col("cand") % 2 == F.col("s") % 2)
+    agreed = hits.where("name_agrees")
+    people = _people(spark, sf_dir).select("author_id", F.col("institution").alias("phd_institution"))
+    shared = agreed.join(people, "author_id").where("phd_institution = cand_institution").select("integer_id", "contributor_rank", F.col("cand_institution").alias("institution"))
+    lines = table(spark, sf_dir, "lineitem")
+    mine = lines.select(F.col("l_orderkey").alias("integer_id"), F.col("l_partkey").alias("doi")).distinct()
+    theirs = lines.select(F.col("l_suppkey").alias("cand"), F.col("l_partkey").alias("doi")).distinct()
+    pubs = agreed.join(mine, "integer_id").join(theirs, ["cand", "doi"]).select("integer_id", "contributor_rank", "doi")
+    pilot = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("author_id"))
+    candidates = hits.select("integer_id", "contributor_rank", F.col("cand").alias("author_id"), F.col("s_name").alias("display_name"), "name_agrees")
+    none = contributors.select("integer_id", "contributor_rank").where("false")
+    return M.contributor_evidence(contributors, candidates, shared, pubs, none, pilot)
+
+
+@query(f"WITH {_SUP_SQL} SELECT * FROM evidence")
+def supervisor_evidence(spark, sf_dir):
+    found = _evidence(spark, sf_dir, _resolve(spark, sf_dir))
+    joined = [F.array_join(c, "|").alias(o) for c, o in (("contributor_name", "contributor_name"), ("name_matches_catalogue", "name_matches"))]
+    return found.select("integer_id", "contributor_rank", "contributor_name_source", *joined, "contributor_confirmed", "sup_match_by", "same_grad_inst", "n_shared_pubs", "is_sup_in_pilot_dataset")
+
+
+def relations(spark, sf_dir) -> DataFrame:
+    """The 34-column result over the driver tables."""
+    best = _resolve(spark, sf_dir)
+    return M.assemble(_theses(spark, sf_dir).drop("o_custkey"), best, _evidence(spark, sf_dir, best))
+
+
+_REL_SQL = _SUP_SQL + """,
+rel AS (SELECT t.integer_id, coalesce(b.display_name, t.phd_name) AS phd_name, b.author_id AS phd_id, nullif(b.orcid, '') AS phd_orcid, n_name_search_matches::INT AS n_name_search_matches, t.year::INT AS year, nullif(b.max_similarity, 0)::DOUBLE AS max_title_similarity,
+  b.match_score::INT AS phd_match_score, CASE WHEN b.match_score > 0 THEN 'ranking' END AS phd_match_by, b.max_similarity >= 0.99 AS exact_match, b.max_similarity >= 0.9 AS near_exact_match, b.affiliation_match, e.contributor_rank, e.contributor_name_source, e.name_matches, e.contributor_confirmed, e.same_grad_inst, e.n_shared_pubs
+  FROM theses t LEFT JOIN best b USING (integer_id) LEFT JOIN counts ON counts.integer_id = b.integer_id LEFT JOIN evidence e ON e.integer_id = t.integer_id)"""
+
+
+@query(f"WITH {_REL_SQL} SELECT * EXCLUDE (name_matches, exact_match, near_exact_match, affiliation_match) FROM rel")
+def author_relations(spark, sf_dir):
+    return relations(spark, sf_dir).select(
+        "integer_id", "phd_name", "phd_id", "phd_orcid", "n_name_search_matches", "year", "max_title_similarity", F.col("phd_match_score").cast("int").alias("phd_match_score"), "phd_match_by",
+        "contributor_rank", "contributor_name_source", "contributor_confirmed", "same_grad_inst", "n_shared_pubs",
+    )
+
+
+_DEDUP_SQL = """WITH x AS (SELECT c_custkey AS integer_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'O' || (c_custkey // 6) END AS orcid, CASE WHEN c_custkey % 11 <> 0 THEN 'A' || (c_custkey // 4) END AS aid,
+  (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS n FROM customer),
+k AS (SELECT *, coalesce(nullif(orcid, ''), aid) AS key FROM x), g AS (SELECT key, arg_max(integer_id, (n, -integer_id)) AS kept, count(*) AS size FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
+m AS (SELECT k.*, kept FROM k JOIN g USING (key)), notes AS (SELECT kept, string_agg(integer_id::VARCHAR, '|' ORDER BY integer_id <> kept, integer_id) AS ids FROM m GROUP BY kept)
+SELECT integer_id, ids AS duplicate_ids FROM x LEFT JOIN notes ON kept = integer_id WHERE integer_id NOT IN (SELECT integer_id FROM m WHERE integer_id <> kept)"""
+
+
+@query(_DEDUP_SQL)
+def dedup_candidates(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("integer_id"), "c_name")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("integer_id"), "o_orderkey", (F.col("o_totalprice") > 300000).alias("contributor_confirmed"))
+    i = F.col("integer_id")
+    rows = customers.join(orders, "integer_id", "left").select(
+        "integer_id", F.col("integer_id").cast("string").alias("thesis_identifier"), F.lit("x").alias("institution"), F.col("c_name").alias("phd_name"),
+        F.when(i % 11 != 0, F.concat(F.lit("A"), F.floor(i / 4).cast("string"))).alias("phd_id"), F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("O"), F.floor(i / 6).cast("string"))).alias("phd_orcid"),
+        "contributor_confirmed", F.struct("integer_id", "o_orderkey").alias("row_id"),
+    ).withColumn("row_id", (i * 10_000_000 + F.coalesce(F.col("row_id.o_orderkey"), F.lit(0))))
+    kept = M.deduplicate_candidates(rows)
+    return kept.groupBy("integer_id").agg(F.first("duplicate_phds").alias("d")).select("integer_id", F.array_join(F.transform("d", lambda x: x["integer_id"].cast("string")), "|").alias("duplicate_ids"))
+
+
+@query(f"""WITH {_REL_SQL}, per AS (SELECT integer_id, max((phd_id IS NOT NULL)::INT) AS f, max((phd_match_by IS NOT NULL)::INT) AS c, count(contributor_name_source) AS n, sum(coalesce(contributor_confirmed, false)::INT) AS s, sum(coalesce(n_shared_pubs, 0)) AS p FROM rel GROUP BY integer_id)
+SELECT count(*) AS n_phds, sum(f)::BIGINT AS n_found, sum(c)::BIGINT AS n_confirmed, sum(n)::BIGINT AS n_contributors, sum(s)::BIGINT AS n_confirmed_contributors, sum(p)::BIGINT AS n_shared_pubs, 0::BIGINT AS n_failed, round(100.0 * sum(c) / count(*), 4)::DOUBLE AS percent_confirmed FROM per""")
+def match_metrics(spark, sf_dir):
+    return M.match_metrics(relations(spark, sf_dir))
+
+
+def _case(labels, sql_cases):
+    values = ", ".join(f"({i}, '{x}')" for i, x in enumerate(labels))
+    return f"SELECT position::INT AS position, category, count(c) AS n FROM (VALUES {values}) v(position, category) LEFT JOIN ({sql_cases}) r ON r.c = category GROUP BY ALL"
+
+
+_CAND_CASE = """SELECT CASE WHEN phd_id IS NULL THEN 'Not found in catalogue' WHEN phd_match_by IS NULL THEN 'Found, but no other match'
+  ELSE CASE WHEN exact_match THEN 'Exact title match' WHEN near_exact_match THEN 'Near exact title match' ELSE 'Fuzzy title match' END || CASE WHEN affiliation_match THEN ' + affiliation' ELSE ' only' END END AS c
+  FROM (SELECT DISTINCT integer_id, phd_id, phd_match_by, exact_match, near_exact_match, affiliation_match FROM rel)"""
+_CONTRIB_CASE = """SELECT CASE WHEN phd_match_by IS NULL THEN 'PhD not found in catalogue' WHEN coalesce(name_matches, '') = '' THEN 'Contributor not found in catalogue'
+  WHEN n_shared_pubs = 0 AND NOT same_grad_inst THEN 'No shared publications or affiliation at graduation' WHEN n_shared_pubs = 0 THEN 'Shared affiliation at graduation only'
+  WHEN NOT same_grad_inst THEN 'Shared publications only' ELSE 'Shared publications and affiliation at graduation' END AS c FROM rel"""
+
+
+@query(f"WITH {_REL_SQL} {_case(C.CANDIDATE_LABELS, _CAND_CASE)}")
+def phd_categories(spark, sf_dir):
+    rows = relations(spark, sf_dir).select("integer_id", "phd_id", "phd_match_by", "exact_match", "near_exact_match", "affiliation_match").distinct()
+    return R.histogram(rows.select(C.candidate_category().alias("category")), "category", C.CANDIDATE_LABELS)
+
+
+@query(f"WITH {_REL_SQL} {_case(C.CONTRIBUTOR_LABELS, _CONTRIB_CASE)}")
+def contributor_categories(spark, sf_dir):
+    return R.histogram(relations(spark, sf_dir).select(C.contributor_category().alias("category")), "category", C.CONTRIBUTOR_LABELS)
+
+
+@query(f"WITH {_REL_SQL} SELECT phd_id, bool_or(phd_match_by IS NOT NULL AND coalesce(name_matches, '') <> '' AND n_shared_pubs > 0) AS has_confirmed_contributor FROM rel WHERE phd_id IS NOT NULL GROUP BY phd_id")
+def phd_flags(spark, sf_dir):
+    confirmed = C.contributor_category().isin(*C.CONTRIBUTOR_LABELS[C.FIRST_CONFIRMED_CONTRIBUTOR :])
+    return relations(spark, sf_dir).where("phd_id IS NOT NULL").groupBy("phd_id").agg(F.bool_or(confirmed).alias("has_confirmed_contributor"))
+
+
+@query(f"WITH {_REL_SQL}, missing AS (SELECT DISTINCT phd_name FROM rel WHERE phd_id IS NULL OR phd_match_score < 80) SELECT integer_id, phd_name, institution FROM theses WHERE phd_name IN (SELECT phd_name FROM missing)")
+def not_found_export(spark, sf_dir):
+    weak = relations(spark, sf_dir).withColumn("phd_id", F.when(F.col("phd_match_score") >= 80, F.col("phd_id")))
+    return M.not_found_export(_theses(spark, sf_dir).select("integer_id", "phd_name", "institution"), weak)
