@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_main, jaccard, licenses, quality, sharding, urls
+from . import bpe, chat, decontaminate, html_main, jaccard, licenses, quality, search, sharding, urls
 
 _QUERIES = {
     "op1_license_scan": licenses.query,
@@ -12,10 +12,12 @@ _QUERIES = {
     "op7_pair_index_bpe": bpe.query,
     "op8_typed_chat_format": chat.query,
     "op9_url_reputation": urls.query,
+    "op2_block_max_wand_search": search.query,
     "op3_jump_hash_sharding": sharding.query,
     "op10_prefix_tree_jaccard": jaccard.query,
 }
 _ORACLES: dict[str, str] = {
+    "op2_block_max_wand_search": search.SQL,
     "op5_wu_manber_decontamination": decontaminate.SQL,
     "op8_typed_chat_format": chat.SQL,
     "op10_prefix_tree_jaccard": jaccard.SQL,
