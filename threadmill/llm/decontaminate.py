@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,32 +95,32 @@ _FOUND = [
     T.StructField("items", T.ArrayType(T.LongType())),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
 ]
+_FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def _search_all(read: DataFrame, items: list[tuple[int, str | None]], window: int, keep: list[str]) -> DataFrame:
     sent = read.sparkSession.sparkContext.broadcast([(i, t) for i, t in items if i is not None])
-    schema = T.StructType([read.schema[c] for c in keep] + _FOUND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matchers = build_matchers(sent.value, window)
-        for batch in batches:
-            n_words, n_hit, items_, spans_ = [], [], [], []
-            for text in batch.column("text"):
+        for texts in batches:
+            out = []
+            for text in texts:
                 words = words_of(text.as_py())
                 found = [(start, start + m.length, who) for m in matchers for start, who in m.search(words)]
                 spans = _spans([x[:2] for x in found])
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in spans))
-                items_.append(sorted(set().union(*(x[2] for x in found))))
-                spans_.append([{"start": a, "end": b} for a, b in spans])
-            columns = [batch.column(c) for c in keep] + [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items_, pa.list_(pa.int64())), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in _FOUND)])
+                out.append({
+                    "n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(set().union(*(x[2] for x in found))), "spans": [{"start": a, "end": b} for a, b in spans],
+                })
+            yield pa.array(out, _FOUND_ARROW)
 
-    return read.mapInArrow(run, schema)
+    # texts alone go to Python; what is carried along stays in the JVM
+    found = read.select(*keep, F.arrow_udf(run, T.StructType(_FOUND))(F.col("text")).alias("_found"))
+    return found.select(*keep, *[F.col("_found")[f.name].alias(f.name) for f in _FOUND])
 
 
-def _windows(df: DataFrame, window: int, whole_if_short: bool) -> DataFrame:
-    """Add ``words``, and ``w``: an array of (start, text) of all windows of each length that is asked for."""
+def _with_words(df: DataFrame) -> DataFrame:
+    """Add ``words``, the same as ``words_of`` gives."""
     sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lowered = F.translate(clean_text(F.col("text")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return df.withColumn("words", F.filter(F.split(lowered, sep), lambda x: x != ""))
@@ -128,17 +128,21 @@ def _windows(df: DataFrame, window: int, whole_if_short: bool) -> DataFrame:
 
 def _search_by_join(read: DataFrame, benchmark: DataFrame, window: int, keep: list[str]) -> DataFrame:
     """The same rows by an equi-join on the windows themselves, for benchmarks too large to send."""
-    items = _windows(benchmark.where("item_id is not null"), window, True).where(F.size("words") > 0)
+    items = _with_words(benchmark.where("item_id is not null")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(window))
     item_windows = items.select("item_id", size.alias("len"), F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice(F.col("words"), i, size), " ")
     )).alias("w")).distinct()
     lengths = sorted(r["len"] for r in item_windows.select("len").distinct().collect())  # at most ``window`` values
-    docs = _windows(read.withColumn("row", F.monotonically_increasing_id()), window, False)
-    spread = docs.select("row", F.explode(F.flatten(F.array(*[
-        F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i, n=n: F.struct((i - 1).cast("long").alias("start"), (i - 1 + n).cast("long").alias("end"), F.lit(n).alias("len"), F.array_join(F.slice(F.col("words"), i, n), " ").alias("w"))))
-        .otherwise(F.array().cast("array<struct<start:bigint,end:bigint,len:int,w:string>>")) for n in lengths
-    ]))).alias("x")).select("row", "x.*") if lengths else None
+    docs = _with_words(read.withColumn("row", F.monotonically_increasing_id()))
+
+    def of_length(n: int) -> Column:
+        """All windows of ``n`` words with their places."""
+        starts = F.sequence(F.lit(1), F.size("words") - n + 1)
+        windows = F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("start"), (i - 1 + n).cast("long").alias("end"), F.lit(n).alias("len"), F.array_join(F.slice(F.col("words"), i, n), " ").alias("w")))
+        return F.when(F.size("words") >= n, windows).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,len:int,w:string>>"))
+
+    spread = docs.select("row", F.explode(F.flatten(F.array(*map(of_length, lengths)))).alias("x")).select("row", "x.*") if lengths else None
     if spread is None:
         none = F.array().cast("array<bigint>")
         return docs.select(*keep, F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))

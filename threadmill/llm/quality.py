@@ -194,19 +194,18 @@ def score_documents(docs: DataFrame, model: MilModel | None, keep: list[str] | N
     A null or empty text is a bag of one empty passage. Without a model every score is one half.
     Repeated rows are scored alike.
     """
-    keep = keep or ["doc_id"]
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([read.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.full(batch.num_rows, 0.5)
-            if model is not None:
-                for lo, features, passages in encode_texts(batch.column("text")):
-                    scores[lo : lo + len(passages)] = model.score(features, passages)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], names=[*keep, "score"])
-
-    return read.mapInArrow(run, schema)
+    if model is None:
+        return docs.select(*(keep or ["doc_id"]), F.lit(0.5).alias("score"))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            scores = np.empty(len(texts))
+            for lo, features, passages in encode_texts(texts):
+                scores[lo : lo + len(passages)] = model.score(features, passages)
+            yield pa.array(scores)
+
+    # texts alone go to Python; what is carried along stays in the JVM
+    return docs.select(*(keep or ["doc_id"]), F.arrow_udf(run, T.DoubleType())(F.col("text")).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
