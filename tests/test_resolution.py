@@ -93,8 +93,8 @@ def test_a_country_counts_in_any_year(spark):
 def test_null_doi(spark):
     a = spark.createDataFrame([(1, None), (1, "x"), (2, "y")], "pair long, doi string")
     b = spark.createDataFrame([(1, None), (1, "x"), (2, None)], "pair long, doi string")
-    assert M.shared_publications(a, b).count() == 1
-    assert M.shared_publications(a, b, MatchConfig(ignore_null_doi=False)).count() == 2
+    assert M.shared_publications(a, b, ["pair"]).count() == 1
+    assert M.shared_publications(a, b, ["pair"], MatchConfig(ignore_null_doi=False)).count() == 2
 
 
 def test_result_has_a_placeholder_row(spark):

@@ -13,3 +13,9 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null if a side is null or has no length, never NaN."""
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def unit(a: Column) -> Column:
+    """The vector at length 1, so that a plain ``dot`` of two is their cosine; null if it has no length."""
+    length = F.nullif(F.sqrt(dot(a, a)), F.lit(0.0))
+    return F.when(length.isNotNull(), F.transform(a, lambda x: x.cast("double") / length))

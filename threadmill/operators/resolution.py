@@ -108,15 +108,20 @@ def resolve_candidates(theses: DataFrame, search: DataFrame, name_pairs: DataFra
     return best.join(counts, "integer_id").withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking")))
 
 
-def shared_publications(left: DataFrame, right: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """DOIs that both sides of a pair have: left (pair, doi), right (pair, doi).
+def shared_publications(left: DataFrame, right: DataFrame, on: list[str], config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Rows of ``left`` (pair columns, ``on`` among them, and doi) whose doi ``right`` (``on``, doi) has too.
 
-    A null DOI is no publication, unless ``ignore_null_doi`` is off: then it is one that all share.
+    The right side stays one row per key and publication, however many pairs ask for it. A null DOI is
+    no publication, unless ``ignore_null_doi`` is off: then it is one that all share.
     """
-    a, b = left.select("pair", "doi").distinct(), right.select("pair", F.col("doi").alias("_doi")).distinct()
+    a, b = left.distinct(), right.select(*on, "doi").distinct()
     if config.ignore_null_doi:
-        return a.join(b.withColumnRenamed("_doi", "doi"), ["pair", "doi"])
-    return a.join(b, (a["pair"] == b["pair"]) & a["doi"].eqNullSafe(b["_doi"])).select(a["pair"], "doi")
+        return a.join(b, [*on, "doi"], "left_semi")
+    b = b.select(*[F.col(c).alias(f"_{c}") for c in (*on, "doi")])
+    same = a["doi"].eqNullSafe(b["_doi"])
+    for c in on:
+        same &= a[c] == b[f"_{c}"]
+    return a.join(b, same, "left_semi")
 
 
 def contributor_evidence(contributors: DataFrame, candidates: DataFrame, shared_affiliations: DataFrame, shared_pubs: DataFrame, coauthors: DataFrame, pilot: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:

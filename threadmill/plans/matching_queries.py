@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..catalog import query
 from ..config import MatchConfig
 from ..functions import categories as C
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, dot, unit
 from ..operators import people as P
 from ..operators import relational as R
 from ..operators import resolution as M
@@ -101,9 +101,9 @@ def shared_publications(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
     bought = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("doi")).join(orders, "o_orderkey")
     both = bought.select("cust", "supp").distinct()
-    mine = both.join(bought.where("doi % 5 <> 0").select("cust", "doi").distinct(), "cust").select(F.struct("cust", "supp").alias("pair"), "doi")
-    theirs = both.join(bought.where("doi % 3 <> 0").select("supp", "doi").distinct(), "supp").select(F.struct("cust", "supp").alias("pair"), "doi")
-    return M.shared_publications(mine, theirs).groupBy("pair").agg(F.count("*").alias("n_shared")).select("pair.cust", "pair.supp", "n_shared")
+    mine = both.join(bought.where("doi % 5 <> 0").select("cust", "doi").distinct(), "cust")
+    theirs = bought.where("doi % 3 <> 0").select("supp", "doi")
+    return M.shared_publications(mine, theirs, ["supp"]).groupBy("cust", "supp").agg(F.count("*").alias("n_shared"))
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS pair, nullif(l_linenumber, 3) AS doi FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey AS pair, nullif(l_linenumber, 3) AS doi FROM lineitem WHERE l_returnflag = 'R')
@@ -111,7 +111,7 @@ SELECT a.pair, count(*) AS n_shared FROM a JOIN b ON a.pair = b.pair AND a.doi I
 def shared_publications_null_doi(spark, sf_dir):
     """With a null DOI as one that all share."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("pair"), F.nullif("l_linenumber", F.lit(3)).alias("doi"))
-    shared = M.shared_publications(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), MatchConfig(ignore_null_doi=False))
+    shared = M.shared_publications(lines.where("l_returnflag = 'A'").select("pair", "doi"), lines.where("l_returnflag = 'R'"), ["pair"], MatchConfig(ignore_null_doi=False))
     return shared.groupBy("pair").agg(F.count("*").alias("n_shared"))
 
 
@@ -188,14 +188,14 @@ def _resolve(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     authorships = orders.select(F.col("o_custkey").alias("author_id"), F.col("o_orderkey").alias("work_id"))
     works = orders.select(F.col("o_orderkey").alias("work_id"), F.col("o_orderkey").cast("string").alias("title"), F.year("o_orderdate").alias("publication_year"))
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding")).alias("embedding"))
     n = vectors.agg(F.max("vec_id")).first()[0] + 1
 
     def similarity(rows: DataFrame) -> DataFrame:
         a = vectors.select(F.col("vec_id").alias("_a"), F.col("embedding").alias("_ea"))
         b = vectors.select(F.col("vec_id").alias("_b"), F.col("embedding").alias("_eb"))
         both = rows.join(a, F.col("integer_id") % n == F.col("_a")).join(b, F.col("work_id") % n == F.col("_b"))
-        return both.withColumn("similarity", F.round(cosine(F.col("_ea"), F.col("_eb")), 6)).drop("_a", "_b", "_ea", "_eb")
+        return both.withColumn("similarity", F.round(dot(F.col("_ea"), F.col("_eb")), 6)).drop("_a", "_b", "_ea", "_eb")
 
     return M.resolve_candidates(asked, search, by_query, authors, authorships, works, similarity)
 
@@ -233,7 +233,7 @@ def _evidence(spark, sf_dir, best: DataFrame) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     mine = lines.select(F.col("l_orderkey").alias("integer_id"), F.col("l_partkey").alias("doi")).distinct()
     theirs = lines.select(F.col("l_suppkey").alias("cand"), F.col("l_partkey").alias("doi")).distinct()
-    pubs = agreed.join(mine, "integer_id").join(theirs, ["cand", "doi"]).select("integer_id", "contributor_rank", "doi")
+    pubs = M.shared_publications(agreed.join(mine, "integer_id").select("integer_id", "contributor_rank", "cand", "doi"), theirs, ["cand"]).select("integer_id", "contributor_rank", "doi")
     pilot = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("author_id"))
     candidates = hits.select("integer_id", "contributor_rank", F.col("cand").alias("author_id"), F.col("s_name").alias("display_name"), "name_agrees")
     none = contributors.select("integer_id", "contributor_rank").where("false")
@@ -242,14 +242,14 @@ def _evidence(spark, sf_dir, best: DataFrame) -> DataFrame:
 
 @query(f"WITH {_SUP_SQL} SELECT * FROM evidence")
 def supervisor_evidence(spark, sf_dir):
-    found = _evidence(spark, sf_dir, _resolve(spark, sf_dir))
+    found = _evidence(spark, sf_dir, _resolve(spark, sf_dir).persist())
     joined = [F.array_join(c, "|").alias(o) for c, o in (("contributor_name", "contributor_name"), ("name_matches_catalogue", "name_matches"))]
     return found.select("integer_id", "contributor_rank", "contributor_name_source", *joined, "contributor_confirmed", "sup_match_by", "same_grad_inst", "n_shared_pubs", "is_sup_in_pilot_dataset")
 
 
 def relations(spark, sf_dir) -> DataFrame:
     """The 34-column result over the driver tables."""
-    best = _resolve(spark, sf_dir)
+    best = _resolve(spark, sf_dir).persist()  # it goes into the rows and into the evidence
     return M.assemble(_theses(spark, sf_dir).drop("o_custkey"), best, _evidence(spark, sf_dir, best))
 
 
