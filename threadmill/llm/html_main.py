@@ -44,7 +44,7 @@ OUTSIDE_NAMES = set(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer masthead topbar toolbar "
     "comment comments respond replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags copyright legal disclaimer".split()
 )
-HEADER_NAMES = {"header", "head", "site"}
+HEADER_NAMES = {"header"}
 INSIDE_TAGS = {"article", "main"}
 INSIDE_NAMES = set("article content main post story entry body text prose".split())
 _NEVER = 1e6
