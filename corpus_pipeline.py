@@ -6,12 +6,15 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadmill.llm import bpe, decontaminate, jaccard, quality
-from threadmill.llm.common import clean_text, cut, shared_folder, table
+from threadmill.llm.common import clean_text, cut, key_filter, passes, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: word n-grams of this length, and the least Jaccard similarity in hundredths.
@@ -33,12 +36,21 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = cut(jaccard.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT, text_key=True).drop("n_shingles"))
     other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
     rows = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.bool_or(other).alias("gone")).where("gone OR copies > 1")
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "copies", "gone")
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
+    sent = spark.sparkContext.broadcast(key_filter(rows, "_key"))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for keys in batches:
+            yield pa.array(passes(sent.value, keys.to_numpy(zero_copy_only=False)))
+
+    # a filter of fixed size lets most rows through; those that may be gone or repeated are joined exactly
     keyed = docs.select(*COLUMNS, F.xxhash64(clean_text(F.col("text"))).alias("text_key"))
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["text_key"] == F.col("_key"))
-    single = keyed.join(rows, same, "left_anti").select(*COLUMNS)
-    repeated = keyed.join(rows.where("NOT gone"), same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS)
-    return single.unionByName(repeated)
+    marked = keyed.withColumn("_maybe", F.arrow_udf(run, T.BooleanType())(F.col("text_key")))
+    maybe = marked.where("_maybe")
+    judged = maybe.join(rows, maybe["doc_id"].eqNullSafe(F.col("_id")) & (maybe["text_key"] == F.col("_key")), "left")
+    alone = judged.where("gone IS NULL").select(*COLUMNS)
+    repeated = judged.where("NOT gone").dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS)
+    return marked.where("NOT _maybe").select(*COLUMNS).unionByName(alone).unionByName(repeated)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

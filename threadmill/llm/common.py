@@ -35,6 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of the filters below (8 MB). A fuller filter lets more pass, it never loses a key.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Which residues of 64-bit keys occur, as bits in 32-bit words: a filter of fixed size for any number of keys."""
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))
+    words = keys.select(F.floor(place / 32).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = words.toArrow()  # FILTER_BITS / 32 rows at most
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are surely not in the filter."""
+    at = keys.astype(np.int64) % FILTER_BITS
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
 def translation(separators: bytes) -> bytes:
     """Table for ``bytes.translate``: A-Z to a-z, separators to a blank, all else as it is."""
     out = bytearray(range(256))

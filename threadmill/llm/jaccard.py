@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_SEPARATORS, Words, byte_values, clean_text, cut, mix64, row_chunks, separator_mask, table, text_buffer
+from .common import SPACE_SEPARATORS, Words, byte_values, clean_text, cut, key_filter, mix64, passes, row_chunks, separator_mask, table, text_buffer
 from .components import connected_components
 
 #: An n-gram is frequent if a part of the corpus has it in so many of its documents.
@@ -33,8 +33,8 @@ MAX_FREQUENT = 1_000_000
 COUNTED_AT_ONCE = 6_000_000
 #: A candidate group of more n-grams than this is joined in blocks, each pair of blocks on its own.
 MAX_GROUP_NGRAMS = 4_000_000
-#: Bits of the filter that picks the texts whose sets are needed again (8 MB).
-FILTER_BITS = 1 << 26
+#: The places of the sets in their groups are broadcast up to so many rows (about 50 bytes each), else joined by shuffle.
+MAX_BROADCAST_ROWS = 500_000
 _SPACE = separator_mask(SPACE_SEPARATORS)
 _VALUES = byte_values(lower=True)
 
@@ -142,17 +142,23 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(read: DataFrame, n: int, percent: int, keep: list[str]) -> DataFrame:
-    """Per row of ``read`` (row, doc_id, text, ``keep``): row, doc_id, ``keep``, n, sig_a, sig_b, prefix, sketch."""
+    """Per row of ``read`` (row, doc_id, text, ``keep``): row, doc_id, ``keep``, n, sig_a, sig_b, prefix, sketch.
+
+    A task gives prefix and sketch of a set once, for the first of its rows that has it.
+    """
     sent = read.sparkSession.sparkContext.broadcast(_frequent(read, n))
     least = -(-percent // (100 - percent)) if percent < 100 else None  # smaller sets link with equal ones alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = sent.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             size, sig_a, sig_b, prefix, sketch = [], [], [], [], []
             for _, grams in ngram_sets(batch.column("text"), n):
                 a, b = _signature(grams)
-                own = least is not None and len(grams) >= least
+                own = least is not None and len(grams) >= least and (a, b) not in seen
+                if own:
+                    seen.add((a, b))
                 size.append(len(grams))
                 sig_a.append(a)
                 sig_b.append(b)
@@ -251,20 +257,50 @@ def tie_candidates(group: list[tuple[int, int, bytes]], percent: int) -> list[tu
     return edges
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that may link."""
-    keyed = classes.select(F.explode("prefix").alias("gram"), "row", "n", "sketch")
+_EDGE = "a long, b long"
+
+
+def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted (gram, row) batches whose gram occurs more than once."""
+    grams, rows, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        grams, rows = (np.concatenate([held, batch.column(c).to_numpy()]) for held, c in ((grams, "gram"), (rows, "row")))
+        if not len(grams):
+            continue
+        same = grams[1:] == grams[:-1]
+        keep = np.zeros(len(grams), bool)
+        keep[0] = kept
+        keep[1:] |= same
+        keep[:-1] |= same
+        yield pa.RecordBatch.from_arrays([pa.array(grams[:-1][keep[:-1]]), pa.array(rows[:-1][keep[:-1]])], names=["gram", "row"])
+        grams, rows, kept = grams[-1:], rows[-1:], bool(keep[-1])  # the next batch decides on the last row
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(rows)], names=["gram", "row"])
+
+
+def _candidates(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that may link.
+
+    Most prefix n-grams have one set alone: they are left out before the sketches come in.
+    """
+    keyed = profiles.select(F.explode("prefix").alias("gram"), "row")
+    shared = keyed.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, row long")
+    sketched = shared.join(classes.select("row", "n", "sketch"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for group in _sorted_groups(batches, ["gram"], ["row", "n", "sketch"]):
             found += tie_candidates(group, percent)
             if len(found) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+                yield _edge_batch(found)
                 found = []
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+        yield _edge_batch(found)
 
-    return keyed.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long").distinct()
+    return sketched.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _EDGE).distinct()
 
 
 class _Node:
@@ -357,12 +393,7 @@ def _needed_sets(read: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
     The signatures go to the executors as a bit filter of fixed size. Each task passes on a set once.
     """
-    place = F.pmod(F.col("sig_a"), F.lit(FILTER_BITS))
-    words = needed.select(F.floor(place / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
-    sent = read.sparkSession.sparkContext.broadcast(bits)
+    sent = read.sparkSession.sparkContext.broadcast(key_filter(needed, "sig_a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = sent.value, set()
@@ -370,8 +401,7 @@ def _needed_sets(read: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             found = []
             for _, grams in ngram_sets(batch.column("text"), n):
                 a, b = _signature(grams)
-                at = a % FILTER_BITS
-                if wanted[at >> 5] >> np.uint32(at & 31) & np.uint32(1) and (a, b) not in seen:
+                if (a, b) not in seen and passes(wanted, np.array([a]))[0]:
                     seen.add((a, b))
                     found.append((a, b, grams.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["sig_a", "sig_b", "grams"])
@@ -379,15 +409,16 @@ def _needed_sets(read: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return read.select("text").mapInArrow(run, "sig_a long, sig_b long, grams binary")
 
 
-def _links(read: DataFrame, classes: DataFrame, percent: int, n: int, max_group: int) -> DataFrame:
+def _links(read: DataFrame, profiles: DataFrame, classes: DataFrame, percent: int, n: int, max_group: int) -> DataFrame:
     """(node, component): every class that links with another one."""
-    groups = connected_components(_candidates(classes, percent))
+    groups = connected_components(_candidates(profiles, classes, percent))
     members = cut(groups.join(classes.select(F.col("row").alias("node"), "n", "sig_a", "sig_b"), "node"))
     sizes = members.groupBy("component").agg(F.ceil(F.sum("n") / max_group).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = placed.select("node", "component", "sig_a", "sig_b", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))
     )).alias("at")).select("node", "component", "sig_a", "sig_b", "at.lo", "at.hi")
+    tasks = F.broadcast(tasks) if members.count() <= MAX_BROADCAST_ROWS else tasks
     joined = tasks.join(_needed_sets(read, members, n), ["sig_a", "sig_b"]).select("component", "lo", "hi", "node", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,10 +426,9 @@ def _links(read: DataFrame, classes: DataFrame, percent: int, n: int, max_group:
             rows = dict(group)  # several tasks may have passed on the same set
             nodes = sorted(rows)
             union = join_sets([np.frombuffer(rows[i], np.uint64) for i in nodes], percent)
-            pairs = [(nodes[k], nodes[union.find(k)]) for k in range(len(nodes)) if union.find(k) != k]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            yield _edge_batch([(nodes[k], nodes[union.find(k)]) for k in range(len(nodes)) if union.find(k) != k])
 
-    links = joined.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(run, "a long, b long")
+    links = joined.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(run, _EDGE)
     return connected_components(links)
 
 
@@ -417,8 +447,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     profiles = cut(_profiles(read.withColumn("row", F.monotonically_increasing_id()), n, percent, keep))
     some = profiles.where("n > 0")
     classes = some.groupBy("sig_a", "sig_b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
-    firsts = cut(some.drop("doc_id", *keep).join(classes.select("rep", "least_id"), F.col("row") == F.col("rep")).drop("rep"))
-    linked = _links(read, firsts.where(F.size("prefix") > 0), percent, n, max_group)
+    firsts = cut(some.drop("doc_id", "prefix", *keep).join(classes.select("rep", "least_id"), F.col("row") == F.col("rep")).drop("rep"))
+    linked = _links(read, profiles, firsts, percent, n, max_group)
     ids = firsts.select(F.col("row").alias("node"), "sig_a", "sig_b", "least_id")
     linked = cut(ids.join(linked, "node"))
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
