@@ -69,7 +69,7 @@ def candidate_evidence(candidates: DataFrame, works: DataFrame, config: MatchCon
     pairs = F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("similarity"), F.lit(2.0)).alias("_k"), "work_id", "title", "similarity")))
     by_work = works.groupBy("integer_id", "author_id").agg(
         F.max("similarity").alias("best"), F.count_if(t["close_match"]).cast("int").alias("n_close_matches"),
-        F.transform(pairs, lambda x: x["title"]).alias("titles"), F.transform(pairs, lambda x: x["similarity"]).alias("title_similarities"), F.lit(True).alias("has_works"),
+        F.transform(pairs, lambda x: x["title"]).alias("titles"), F.transform(pairs, lambda x: x["work_id"].cast("string")).alias("work_ids"), F.transform(pairs, lambda x: x["similarity"]).alias("title_similarities"), F.lit(True).alias("has_works"),
     )
     joined = candidates.join(by_work, ["integer_id", "author_id"], "left")
     best = F.when(F.col("has_works"), F.col("best")).otherwise(F.lit(0.0))
@@ -78,7 +78,7 @@ def candidate_evidence(candidates: DataFrame, works: DataFrame, config: MatchCon
         joined.withColumn("max_similarity", best).withColumn("n_close_matches", F.coalesce("n_close_matches", F.lit(0)))
         .withColumn("exact_match", b["exact_match"]).withColumn("near_exact_match", b["near_exact_match"])
         .withColumn("titles", F.coalesce("titles", F.array().cast("array<string>"))).withColumn("title_similarities", F.coalesce("title_similarities", F.array().cast("array<double>")))
-        .withColumn("match_score", match_score(config)).drop("best", "has_works")
+        .withColumn("work_ids", F.coalesce("work_ids", F.array().cast("array<string>"))).withColumn("match_score", match_score(config)).drop("best", "has_works")
     )
 
 
@@ -130,13 +130,14 @@ def contributor_evidence(contributors: DataFrame, candidates: DataFrame, shared_
     contributors: integer_id, contributor_rank, contributor_name_source, institution. candidates:
     integer_id, contributor_rank, author_id, display_name, name_agrees (all search hits). The shared
     tables have integer_id, contributor_rank and institution / doi; coauthors has integer_id,
-    contributor_rank; pilot has author_id. Contributors without evidence have the defaults.
+    contributor_rank; pilot has author_id; an orcid of candidates is optional. Contributors without evidence have the defaults.
     """
     keys = ["integer_id", "contributor_rank"]
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("author_id", c))), lambda x: x[c])
     hits = candidates.groupBy(*keys).agg(
         ordered("display_name").alias("contributor_name"), F.sort_array(F.collect_list("author_id")).alias("contributor_id"),
         F.sort_array(F.collect_list(F.when(F.col("name_agrees"), F.col("display_name")))).alias("name_matches_catalogue"),
+        *([ordered("orcid").alias("contributor_orcid")] if "orcid" in candidates.columns else []),
     )
     in_pilot = candidates.where("name_agrees").join(pilot.select("author_id").distinct(), "author_id").groupBy(*keys).agg(F.lit(True).alias("is_sup_in_pilot_dataset"))
     affil = shared_affiliations.groupBy(*keys).agg(F.countDistinct("institution").cast("int").alias("n_shared_inst_grad"), F.collect_set("institution").alias("_shared"))
@@ -149,7 +150,7 @@ def contributor_evidence(contributors: DataFrame, candidates: DataFrame, shared_
     confirmed = rules[config.confirm_rule]
     coauthor = F.coalesce("_co", F.lit(False)) if config.thesis_id_mode == "work_id" else F.lit(False)
     return joined.select(
-        *keys, "contributor_name_source", *[F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("name_matches_catalogue", "contributor_name", "contributor_id")],
+        *keys, "contributor_name_source", *[F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("name_matches_catalogue", "contributor_name", "contributor_id", "contributor_orcid") if c in joined.columns],
         confirmed.alias("contributor_confirmed"), F.when(confirmed, F.lit(config.confirm_text)).otherwise(F.lit("")).alias("sup_match_by"), same.alias("same_grad_inst"),
         n_aff.alias("n_shared_inst_grad"), F.coalesce("is_sup_in_pilot_dataset", F.lit(False)).alias("is_sup_in_pilot_dataset"), n_pub.alias("n_shared_pubs"),
         F.coalesce(F.col("shared_pubs").cast("array<string>"), strings).alias("shared_pubs"), coauthor.alias("is_thesis_coauthor"),
