@@ -131,3 +131,15 @@ def test_entry_without_the_corpus_operators():
 
     assert "contributor_pivot" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
     assert F is not None
+
+
+def test_logs(tmp_path):
+    from threadmill.sources import runlog
+
+    log = runlog.open_logs(str(tmp_path), "t")
+    with runlog.at_row(integer_id=7):
+        log.info("looked")
+        log.info(runlog.PROGRESS + "half way")
+    log.info("done")
+    run, progress = ((tmp_path / f).read_text() for f in ("run.log", "progress.log"))
+    assert "[integer_id=7] looked" in run and "[-] done" in run and progress.count("\n") == 1 and "half way" in progress

@@ -140,6 +140,36 @@ def candidate_top1(spark, sf_dir):
     return best.select(F.col("integer_id").alias("c_nationkey"), F.col("author_id").alias("best"), F.col("match_score").cast("long").alias("score"), "n_candidates")
 
 
+@query("""SELECT c_custkey, ((c_acctbal > 0)::INT * 50 + (c_acctbal > 2000)::INT * 20 + (c_mktsegment = 'BUILDING')::INT * 20 + c_custkey % 3)::BIGINT AS match_score FROM customer""")
+def candidate_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_custkey") % 3).alias("n_close_matches"), (F.col("c_acctbal") > 0).alias("exact_match"), (F.col("c_acctbal") > 2000).alias("near_exact_match"), (F.col("c_mktsegment") == "BUILDING").alias("affiliation_match")
+    )
+    return rows.select("c_custkey", M.match_score().cast("long").alias("match_score"))
+
+
+@query(f"""WITH {_SUPPLIER_AFFILIATIONS} SELECT l_suppkey, count(DISTINCT y)::INT AS n_years, min(y)::INT AS first_year, any_value(institution) AS institution,
+  coalesce(max(institution) FILTER (y = 1998), '') AS in_1998 FROM sa GROUP BY l_suppkey""")
+def affil_target_set(spark, sf_dir):
+    a = F.col("affiliations")
+    years = F.array_distinct(F.flatten(F.transform(a, lambda x: x["years"])))
+    return _supplier_affiliations(spark, sf_dir).select(
+        "l_suppkey", F.size(years).alias("n_years"), F.array_min(years).alias("first_year"), a[0]["institution"]["display_name"].alias("institution"), F.array_join(M.target_institutions(a, F.lit(1998), 0), "|").alias("in_1998")
+    )
+
+
+@query("""SELECT o_orderkey, bool_or(s_nationkey = c_nationkey) AS same_grad_inst, bool_or(s_suppkey % 10 = 0) AS is_sup_in_pilot_dataset, count(DISTINCT s_suppkey) FILTER (s_nationkey = c_nationkey)::INT AS n_shared
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY o_orderkey""")
+def evidence_flags(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    pilot = suppliers.where("s_suppkey % 10 = 0").select("s_suppkey", F.lit(True).alias("_pilot"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    rows = lines.join(suppliers.join(pilot, "s_suppkey", "left"), "s_suppkey").join(orders, "o_orderkey")
+    same = F.col("s_nationkey") == F.col("c_nationkey")
+    return rows.groupBy("o_orderkey").agg(F.bool_or(same).alias("same_grad_inst"), F.bool_or(F.coalesce("_pilot", F.lit(False))).alias("is_sup_in_pilot_dataset"), F.count_if(same).cast("int").alias("n_shared"))
+
+
 # --- resolution from end to end -------------------------------------------------------------------
 
 _RESOLVE_SQL = """n_parts AS (SELECT max(p_partkey) + 1 AS n FROM part), n_vec AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
