@@ -284,6 +284,16 @@ def test_main_text():
     assert html_main.main_text("<p>open <p>tags &lt;b&gt;<!-- never closed") == "open\n\ntags <b>" or html_main.main_text("<p>x") is not None
 
 
+@pytest.mark.parametrize("part", [
+    '<ol class="commentlist"><li>Nice words about all of this, thank you.</li></ol>', '<div role="complementary"><p>Other things that you may like to read today.</p></div>', '<div class="adsbygoogle">Buy this now, it is good.</div>',
+    '<div id="sideBar2"><p>See also this and that and more of it.</p></div>', '<div class="site-header"><p>The best site of them all, every day.</p></div>', '<p hidden>Not to be seen by any reader of it.</p>',
+    '<select><option>one of these<option>another of these</select>', '<style>p { content: "no words here at all" }</style>', '<noscript>Please turn on the scripts of your browser.</noscript>', '<!-- a comment with quite a few words in it -->',
+])
+def test_parts_that_are_no_article(part):
+    page = f"<body>{part}<div class='site-content'><h1>Head</h1><p>First words of the text itself.</p>{part}<p>Last words of the text itself.</p></div>{part}</body>"
+    assert html_main.main_text(page) == "Head\n\nFirst words of the text itself.\n\nLast words of the text itself."
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=7), st.data())
 def test_minimum_cut_is_minimal(excess, data):

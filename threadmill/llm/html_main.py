@@ -25,6 +25,7 @@ from .common import clean_text, table
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>?""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.IGNORECASE)
@@ -42,8 +43,10 @@ OUTSIDE_TAGS = {"nav", "aside", "footer", "form", "button", "select", "menu", "d
 OUTSIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer masthead topbar toolbar "
-    "comment comments respond replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags copyright legal disclaimer".split()
+    "comment comments respond replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags copyright legal disclaimer contentinfo complementary dialog form".split()
 )
+#: Names that only start like one of those.
+OUTSIDE_STARTS = ("comment", "advert", "adsby", "sidebar", "cookie", "breadcrumb", "navbar", "navigation", "newsletter", "footer", "sponsor")
 HEADER_NAMES = {"header"}
 INSIDE_TAGS = {"article", "main"}
 INSIDE_NAMES = set("article content main post story entry body text prose".split())
@@ -147,10 +150,14 @@ def blocks_of(page: str) -> list[Block]:
         serial += 1
         up = stack[-1]
         attributes = m[3]
-        names = {x.lower() for n in _NAMES.findall(attributes) for x in _PIECE.findall(n)} if attributes.strip() else set()
-        inside = up.inside or tag in INSIDE_TAGS or (tag not in {"html", "body"} and bool(names & INSIDE_NAMES) and not names & OUTSIDE_NAMES)
-        outside = up.outside or tag in OUTSIDE_TAGS or (tag not in {"html", "body", "article", "main"} and bool(names & OUTSIDE_NAMES)) or (bool(attributes) and tag not in INLINE and _HIDDEN.search(attributes) is not None)
-        header = up.header or tag == "header" or (bool(names & HEADER_NAMES) and tag not in {"html", "body", "article", "main"} and not tag.startswith("h"))
+        names = {x.lower() for n in _NAMES.findall(attributes) for x in (*_PIECE.findall(n), *_LETTERS.findall(n))} if attributes.strip() else set()
+        named_outside = bool(names & OUTSIDE_NAMES) or any(x.startswith(OUTSIDE_STARTS) for x in names)
+        inside = up.inside or tag in INSIDE_TAGS or (tag not in {"html", "body"} and bool(names & INSIDE_NAMES) and not named_outside)
+        outside = up.outside or tag in OUTSIDE_TAGS or (tag not in {"html", "body", "article", "main"} and named_outside) or (bool(attributes) and tag not in INLINE and _HIDDEN.search(attributes) is not None)
+        head = tag == "header" or (bool(names & HEADER_NAMES) and tag not in {"html", "body", "article", "main"} and not tag.startswith("h"))
+        header = up.header or head
+        # the header of an article may have its title; any other one is never part of it
+        outside = outside or (head and not (up.inside and (tag == "header" or bool(names & INSIDE_NAMES))))
         stack.append(_Open(tag, serial, outside, inside, header, up.link or tag == "a"))
     for b in found:
         b.text = " ".join("".join(b.pieces).split())
