@@ -30,7 +30,7 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.0005, 6
 #: At most so many frequent n-grams are sent to the executors (12 bytes each), the most frequent ones.
 MAX_FREQUENT = 1_000_000
 #: Counting takes up so many n-grams of a part at a time.
-COUNTED_AT_ONCE = 6_000_000
+COUNTED_AT_ONCE = 3_000_000
 #: A candidate group of more n-grams than this is joined in blocks, each pair of blocks on its own.
 MAX_GROUP_NGRAMS = 4_000_000
 #: The places of the sets in their groups are broadcast up to so many rows (about 50 bytes each), else joined by shuffle.
