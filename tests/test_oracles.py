@@ -34,3 +34,14 @@ def test_query_equals_sql(spark, con, name, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["contributor_pivot", "chunk_select", "sample_with_replacement", "dedup_candidates", "candidate_top1", "near_duplicate_merge"])
+def test_partitions_change_nothing(spark, name):
+    rows = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows.append(sorted(map(str, catalog.QUERIES[name](spark, SF).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows[0] == rows[1]
