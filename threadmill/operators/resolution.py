@@ -134,15 +134,17 @@ def contributor_evidence(contributors: DataFrame, candidates: DataFrame, shared_
     """
     keys = ["integer_id", "contributor_rank"]
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("author_id", c))), lambda x: x[c])
-    hits = candidates.groupBy(*keys).agg(
+    known = candidates.join(pilot.select("author_id").distinct().withColumn("_pilot", F.lit(True)), "author_id", "left")
+    hits = known.groupBy(*keys).agg(
         ordered("display_name").alias("contributor_name"), F.sort_array(F.collect_list("author_id")).alias("contributor_id"),
         F.sort_array(F.collect_list(F.when(F.col("name_agrees"), F.col("display_name")))).alias("name_matches_catalogue"),
+        F.bool_or(F.col("name_agrees") & F.coalesce("_pilot", F.lit(False))).alias("is_sup_in_pilot_dataset"),
         *([ordered("orcid").alias("contributor_orcid")] if "orcid" in candidates.columns else []),
     )
-    in_pilot = candidates.where("name_agrees").join(pilot.select("author_id").distinct(), "author_id").groupBy(*keys).agg(F.lit(True).alias("is_sup_in_pilot_dataset"))
-    affil = shared_affiliations.groupBy(*keys).agg(F.countDistinct("institution").cast("int").alias("n_shared_inst_grad"), F.collect_set("institution").alias("_shared"))
-    pubs = shared_pubs.groupBy(*keys).agg(F.sort_array(F.collect_set("doi")).alias("shared_pubs"), (F.countDistinct("doi") + F.max(F.col("doi").isNull().cast("int"))).cast("int").alias("n_shared_pubs"))
-    joined = contributors.join(hits, keys, "left").join(in_pilot, keys, "left").join(affil, keys, "left").join(pubs, keys, "left").join(coauthors.select(*keys).distinct().withColumn("_co", F.lit(True)), keys, "left")
+    affil = shared_affiliations.groupBy(*keys).agg(F.collect_set("institution").alias("_shared")).withColumn("n_shared_inst_grad", F.size("_shared"))
+    pubs = shared_pubs.groupBy(*keys).agg(F.sort_array(F.collect_set("doi")).alias("shared_pubs"), F.max(F.col("doi").isNull().cast("int")).alias("_null"))
+    pubs = pubs.withColumn("n_shared_pubs", F.size("shared_pubs") + F.col("_null")).drop("_null")
+    joined = contributors.join(hits, keys, "left").join(affil, keys, "left").join(pubs, keys, "left").join(coauthors.select(*keys).distinct().withColumn("_co", F.lit(True)), keys, "left")
     strings = F.array().cast("array<string>")
     same = F.coalesce(F.array_contains("_shared", F.col("institution")), F.lit(False))
     n_aff, n_pub = (F.coalesce(c, F.lit(0)) for c in ("n_shared_inst_grad", "n_shared_pubs"))
