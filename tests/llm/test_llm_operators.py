@@ -110,6 +110,20 @@ def test_license_scan(docs, empty):
     assert len(licenses.rules()) > 300
 
 
+LICENSED = [
+    "Distributed under the GPLv3 or later.", "released under the MIT", "available under the Mozilla Public 2.0", "PROPRIETARY and confidential",
+    "placed in the public\ndomain", "all rights\nreserved", "licensed under the Responsible AI License", "plain prose about a mitigation", None,
+]
+
+
+def test_license_scan_needs_no_word_but_a_rule_s_own(spark):
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(LICENSED):
+        joined = " ".join(words(t))  # neither gate nor keywords
+        assert found[i][0] == ",".join(sorted({label for _, _, label, _, regex in licenses.rules() if re.search(regex, joined)}))
+    assert [found[i] for i in range(5)] == [("gpl", 0.95), ("mit", 0.95), ("mpl", 0.95), ("proprietary", 0.6), ("public-domain", 0.6)]
+
+
 # --- op2 -----------------------------------------------------------------------------------------
 
 

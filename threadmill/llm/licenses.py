@@ -1,9 +1,9 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text becomes its words (A-Z lower-cased, parted by every ASCII sign that is no letter or digit)
-joined by blanks. A cheap test of the raw text decides whether a row is scanned at all. In a scanned
-row each rule runs only where its keyword is among the words, and each match becomes an interval of
-words. Where an interval lies within another one of the same or a better tier, it is suppressed; of
+joined by blanks. A row is scanned if its raw text has the keyword of any rule, so no match is lost. In
+a scanned row each rule runs only where its keyword is among the words, and each match becomes an
+interval of words. Where an interval lies within another one of the same or a better tier, it is suppressed; of
 equal intervals the better tier, then the earlier rule, stays.
 """
 
@@ -17,9 +17,6 @@ from .common import clean_text, table
 #: Phrases whose places are counted in any case, and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: A row is scanned if its text has one of these, in any case.
-GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|public domain|all rights reserved|creative\s+commons|cc[ -](?:by|0)"
-
 #: Families: label, keyword -> names as regexes over words, and a regex of versions.
 FAMILIES: list[tuple[str, dict[str, str], str]] = [
     ("mit", {"mit": "mit", "expat": "expat"}, ""),
@@ -61,7 +58,7 @@ FAMILIES: list[tuple[str, dict[str, str], str]] = [
     ("w3c", {"w3c": "w3c(?: software(?: notice)?(?: and)?)?"}, ""),
     ("x11", {"x11": "x11"}, ""),
     ("zpl", {"zope": "zope public", "zpl": "zpl"}, "1 1|2 0|2 1"),
-    ("openrail", {"openrail": "(?:creativeml |bigscience )?openrail(?: m| s| \\+\\+)?", "rail": "(?:responsible ai|rail)"}, "1 0"),
+    ("openrail", {"openrail": "(?:creativeml |bigscience )?openrail(?: m| s| \\+\\+)?", "responsible": "responsible ai", "rail": "rail"}, "1 0"),
     ("llama", {"llama": "llama(?: [23])?(?: community)?"}, "2|3|3 1"),
     ("sspl", {"sspl": "sspl", "server": "server side public"}, "1"),
     ("busl", {"business": "business source", "busl": "busl"}, "1 1"),
@@ -120,6 +117,10 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     return [(i, tier, label, keyword, _WORD.format(regex)) for i, (tier, label, keyword, regex) in enumerate(found)]
 
 
+#: A row is scanned if its text has a rule's keyword, in any case; every match contains its rule's keyword as a word.
+GATE = "(?i)" + "|".join(sorted({keyword for _, _, _, keyword, _ in rules()}))
+
+
 def _blanks(c: Column) -> Column:
     return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))
 
