@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -10,6 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.text import title_normal_form
 from ..functions.vectors import dot
 
+#: References are compared so many at a time, and so many pairs are worked out at once.
+REFERENCES_AT_ONCE, PAIRS_AT_ONCE = 4096, 500_000
+
+
+def _with_vectors(titles: DataFrame, n: int, size: int) -> DataFrame:
+    """Add the unit vector (``vector``) of the normalised titles ``normal``."""
+    letters = titles.withColumn("_letters", F.split(F.concat(F.lit(" "), F.col("normal"), F.lit(" ")), ""))
+    grams = NGram(n=n, inputCol="_letters", outputCol="_grams").transform(letters)
+    hashed = HashingTF(numFeatures=size, inputCol="_grams", outputCol="_tf").transform(grams)
+    unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
+    return unit.withColumn("vector", vector_to_array("_unit")).drop("_letters", "_grams", "_tf", "_unit")
+
 
 def encode_titles(titles: DataFrame, column: str, n: int = 3, size: int = 1024) -> DataFrame:
     """Distinct normalised titles (``normal``) with unit vectors (``vector``); blank titles have none.
@@ -17,11 +34,7 @@ def encode_titles(titles: DataFrame, column: str, n: int = 3, size: int = 1024)
     Encoding runs once for each distinct title, however often it occurs.
     """
     distinct = titles.select(title_normal_form(F.col(column)).alias("normal")).where("trim(normal) <> ''").distinct()
-    letters = distinct.withColumn("_letters", F.split(F.concat(F.lit(" "), F.col("normal"), F.lit(" ")), ""))
-    grams = NGram(n=n, inputCol="_letters", outputCol="_grams").transform(letters)
-    hashed = HashingTF(numFeatures=size, inputCol="_grams", outputCol="_tf").transform(grams)
-    unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
-    return unit.select("normal", vector_to_array("_unit").alias("vector"))
+    return _with_vectors(distinct, n, size).select("normal", "vector")
 
 
 def ngram_similarity(pairs: DataFrame, title: str, reference: str) -> DataFrame:
@@ -32,3 +45,53 @@ def ngram_similarity(pairs: DataFrame, title: str, reference: str) -> DataFrame:
     for key, out in (("_a", "_va"), ("_b", "_vb")):
         keyed = keyed.join(vectors.select(F.col("normal").alias(key), F.col("vector").alias(out)), key, "left")
     return keyed.withColumn("similarity", dot(F.col("_va"), F.col("_vb"))).drop("_a", "_b", "_va", "_vb")
+
+
+def ngram_similarity_all(texts: DataFrame, references: DataFrame, text_id: str, text: str, reference_id: str, reference: str, n: int = 3, size: int = 1024) -> DataFrame:
+    """(text_id, reference_id, similarity) of every text with every reference; null where one of them is blank or null.
+
+    Texts are encoded where they are read, and no text is shuffled. The references' vectors go to the
+    executors in blocks of ``REFERENCES_AT_ONCE`` at most.
+    """
+
+    def encoded(df: DataFrame, key: str, column: str) -> DataFrame:
+        normal = df.select(F.col(key), title_normal_form(F.col(column)).alias("normal"))
+        return _with_vectors(normal, n, size).select(key, F.when(F.trim("normal") != "", F.col("vector")).alias("vector"))
+
+    id_type, reference_type = texts.schema[text_id].dataType.simpleString(), references.schema[reference_id].dataType.simpleString()
+    own = encoded(texts, text_id, text)
+    n_blocks = max(1, math.ceil(references.count() / REFERENCES_AT_ONCE))
+    found = None
+    for b in range(n_blocks):
+        block = encoded(references.where(F.pmod(F.xxhash64(reference_id, reference), F.lit(n_blocks)) == b), reference_id, reference).toArrow()
+        part = own.mapInArrow(_against(texts, block, text_id, reference_id, size), f"{text_id} {id_type}, {reference_id} {reference_type}, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    """The vectors as rows; a null is a row of NaN."""
+    out = np.full((len(vectors), size), np.nan)
+    there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    out[there] = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    return out
+
+
+def _against(texts: DataFrame, block: pa.Table, text_id: str, reference_id: str, size: int):
+    """What compares batches of encoded texts with a block of encoded references."""
+    ids = block.column(reference_id).combine_chunks()
+    sent = texts.sparkSession.sparkContext.broadcast((ids, _matrix(block.column("vector").combine_chunks(), size)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        step = max(1, PAIRS_AT_ONCE // max(1, len(ids)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                m = part.num_rows
+                similarity = (_matrix(part.column("vector"), size) @ matrix.T).ravel()
+                left = part.column(text_id).take(pa.array(np.repeat(np.arange(m), len(ids))))
+                right = ids.take(pa.array(np.tile(np.arange(len(ids)), m)))
+                yield pa.RecordBatch.from_arrays([left, right, pa.array(similarity, mask=np.isnan(similarity))], names=[text_id, reference_id, "similarity"])
+
+    return run

@@ -18,7 +18,7 @@ from ..functions.vectors import cosine, dot, unit
 from ..operators import people as P
 from ..operators import relational as R
 from ..operators import resolution as M
-from ..operators.similarity import ngram_similarity
+from ..operators.similarity import ngram_similarity_all
 from .tables import LINE_ORDER, pairs, table
 
 _REF = "ref AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label)"
@@ -48,12 +48,10 @@ def similarity_tiers(spark, sf_dir):
 
 @query()
 def title_similarity_ngram(spark, sf_dir):
-    """Each document's first line against the benchmark item of its id's residue."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", "\n", 1).alias("reference"))
-    n = items.agg(F.max("item_id")).first()[0] + 1
-    joined = docs.join(items, F.pmod(F.col("doc_id"), F.lit(n)) == F.col("item_id"))
-    return ngram_similarity(joined, "title", "reference").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    """Each document's whole text against the whole text of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return ngram_similarity_all(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT o_orderkey AS integer_id, l_partkey AS work_id, year(l_shipdate)::INT AS publication_year FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(l_shipdate) <= year(o_orderdate) + 1")
