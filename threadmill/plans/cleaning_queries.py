@@ -197,8 +197,9 @@ def name_normalize_ascii(spark, sf_dir):
 
 @query()
 def name_normalize_full(spark, sf_dir):
-    names = _all_names(spark, sf_dir)
-    return names.withColumn("normalized", normalize_name_udf("name"))
+    """One row a document, whole, and one a distinct name."""
+    texts = table(spark, sf_dir, "documents").select(F.col("text").alias("name"))
+    return texts.unionByName(_all_names(spark, sf_dir)).withColumn("normalized", normalize_name_udf("name"))
 
 
 _LISTS = WordLists(words=("department", "university", "institute", "research"), prefixes=("customer#0", "blue "), endings=("ology", "get"))
