@@ -155,6 +155,13 @@ def test_search_equals_brute_force(spark, shard, block):
     assert {x for x in got if x[0] != 20} == {x for x in brute_bm25(rows, 20, 5) if x[0] != 20}
 
 
+@pytest.mark.parametrize("shard", [4096, 70])
+def test_search_for_words_of_all_documents(spark, shard):
+    rows = [(i, "the and " + ("rare " if i in (20, 7) else "") + "filler " * (i % 3)) for i in range(1, 400)] + [(400, "the")]
+    found = search.top_k(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=5, every=20, shard_documents=shard)
+    assert {(r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()} == brute_bm25(rows, 20, 5)
+
+
 def test_search_of_nothing(empty):
     assert search.top_k(empty).count() == 0
 
