@@ -60,8 +60,8 @@ def contributor_pivot(spark, sf_dir):
 
 @query(f"WITH {_PUBS} SELECT integer_id, year, len(contributors)::INT AS contributor_count, year(DATE '2000-01-01') > year AS early FROM pubs WHERE len(contributors) >= 4")
 def contributor_count_flag(spark, sf_dir):
-    wide = R.spread_list(_pubs(spark, sf_dir), "contributors", 20)
-    counted = wide.select("integer_id", "year", F.size(R.gather_columns(wide)).alias("contributor_count"))
+    count = F.size(F.filter("contributors", lambda x: x.isNotNull()))
+    counted = _pubs(spark, sf_dir).select("integer_id", "year", count.alias("contributor_count"))
     return counted.where("contributor_count >= 4").withColumn("early", F.lit(2000) > F.col("year")).orderBy("year", "contributor_count", "integer_id")
 
 
