@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadmill.llm import bpe, chat, decontaminate, html_main, jaccard, licenses, quality, registry, search, sharding, urls
+from threadmill.llm import bpe, chat, decontaminate, html_main, jaccard, quality, registry, search, sharding, urls
 from threadmill.llm.common import ALNUM_SEPARATORS, SPACE_SEPARATORS, Words, byte_values, row_chunks, separator_mask, text_buffer
 from threadmill.llm.components import connected_components
 
@@ -69,61 +69,6 @@ def test_row_chunks_cover_all_rows_once():
     assert row_chunks(np.array([0]), 50) == []
 
 
-# --- op1 -----------------------------------------------------------------------------------------
-
-
-def brute_base(text):
-    w = words(text)
-    places = sorted(i for i in range(len(w)) for p, _ in licenses.BASE_PHRASES if w[i : i + len(p.split())] == p.split())
-    labels = sorted({x for p, x in licenses.BASE_PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()})
-    return len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(labels)
-
-
-def brute_labels(text):
-    """All matches of all rules, then suppression by comparing every pair."""
-    joined = " ".join(words(text))
-    if not re.search(licenses.GATE, text or ""):
-        return set()
-    found = set()
-    for order, tier, label, keyword, regex in licenses.rules():
-        if keyword in joined.split(" "):
-            for m in re.finditer(regex, joined):
-                start = joined[: m.start()].count(" ")
-                found.add((start, start + m[0].count(" ") + 1, tier, order, label))
-    rank = lambda x: (x[0], -x[1], x[2], x[3])
-    return {x[4] for x in found if not any(rank(y) < rank(x) and y[1] >= x[1] and y[2] <= x[2] for y in found)}
-
-
-def test_license_scan(docs, empty):
-    rows = licenses.scan_licenses(docs).collect()
-    assert len(rows) == docs.count()
-    by = {}
-    for r in rows:
-        by.setdefault(r["doc_id"], r)
-    for i, t in enumerate(TEXTS):
-        r = by[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_base(t)
-        assert set(filter(None, r["labels"].split(","))) == brute_labels(t) | set(filter(None, r["base_labels"].split(",")))
-        assert 0 <= r["score"] <= 1
-    assert by[12]["labels"] == "cc-by-nc" and by[13]["labels"] == "apache" and by[6]["labels"] == "gpl,lgpl"
-    assert licenses.scan_licenses(empty).count() == 0
-    assert len(licenses.rules()) > 300
-
-
-LICENSED = [
-    "Distributed under the GPLv3 or later.", "released under the MIT", "available under the Mozilla Public 2.0", "PROPRIETARY and confidential",
-    "placed in the public\ndomain", "all rights\nreserved", "licensed under the Responsible AI License", "plain prose about a mitigation", None,
-]
-
-
-def test_license_scan_needs_no_word_but_a_rule_s_own(spark):
-    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")).collect()}
-    for i, t in enumerate(LICENSED):
-        joined = " ".join(words(t))  # neither gate nor keywords
-        assert found[i][0] == ",".join(sorted({label for _, _, label, _, regex in licenses.rules() if re.search(regex, joined)}))
-    assert [found[i] for i in range(5)] == [("gpl", 0.95), ("mit", 0.95), ("mpl", 0.95), ("proprietary", 0.6), ("public-domain", 0.6)]
-
-
 # --- op2 -----------------------------------------------------------------------------------------
 
 

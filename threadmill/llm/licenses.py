@@ -1,10 +1,10 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A text becomes its words (A-Z lower-cased, parted by every ASCII sign that is no letter or digit)
-joined by blanks. A row is scanned if its raw text has the keyword of any rule, so no match is lost. In
-a scanned row each rule runs only where its keyword is among the words, and each match becomes an
-interval of words. Where an interval lies within another one of the same or a better tier, it is suppressed; of
-equal intervals the better tier, then the earlier rule, stays.
+A text becomes its array of words (A-Z lower-cased, parted by every ASCII sign that is no letter or
+digit). A rule runs in a row only if the row has all of the rule's keywords, which every match contains;
+no other test stands before it. Each match becomes an interval of words. Where an interval lies within
+another one of the same or a better tier, it is suppressed; of equal intervals the better tier, then
+the earlier rule, stays.
 """
 
 from __future__ import annotations
@@ -13,137 +13,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import clean_text, table
+from .signatures import Rule, rules
 
 #: Phrases whose places are counted in any case, and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-
-#: Families: label, keyword -> names as regexes over words, and a regex of versions.
-FAMILIES: list[tuple[str, dict[str, str], str]] = [
-    ("mit", {"mit": "mit", "expat": "expat"}, ""),
-    ("apache", {"apache": "apache(?: software)?", "asl": "asl"}, "1 0|1 1|2 0|2"),
-    ("lgpl", {"lesser": "(?:gnu )?lesser general public", "lgpl": "(?:gnu )?lgpl", "lgplv2": "lgplv2", "lgplv3": "lgplv3", "library": "gnu library general public"}, "2 0|2 1|3 0|2|3"),
-    ("agpl", {"affero": "(?:gnu )?affero general public", "agpl": "(?:gnu )?agpl", "agplv3": "agplv3"}, "1 0|3 0|1|3"),
-    ("gpl", {"general": "(?:gnu )?general public", "gpl": "(?:gnu )?gpl", "gplv2": "gplv2", "gplv3": "gplv3"}, "1 0|2 0|3 0|1|2|3"),
-    ("gfdl", {"documentation": "(?:gnu )?free documentation", "gfdl": "gfdl"}, "1 1|1 2|1 3"),
-    ("bsd", {"bsd": "(?:(?:new|modified|simplified|original|revised|[0234] clause|two clause|three clause|four clause) )?bsd"}, ""),
-    ("mpl", {"mozilla": "mozilla public", "mpl": "mpl"}, "1 0|1 1|2 0"),
-    ("epl", {"eclipse": "eclipse public", "epl": "epl"}, "1 0|2 0"),
-    ("edl", {"distribution": "eclipse distribution"}, "1 0"),
-    ("cddl", {"cddl": "cddl", "development": "common development and distribution"}, "1 0|1 1"),
-    ("cpl", {"common": "common public"}, "1 0"),
-    ("eupl", {"european": "european union public", "eupl": "eupl"}, "1 0|1 1|1 2"),
-    ("isc", {"isc": "isc", "internet": "internet (?:systems|software) consortium"}, ""),
-    ("zlib", {"zlib": "zlib(?: libpng)?", "libpng": "libpng"}, ""),
-    ("boost", {"boost": "boost software", "bsl": "bsl"}, "1 0"),
-    ("artistic", {"artistic": "artistic"}, "1 0|2 0"),
-    ("unlicense", {"unlicense": "(?:the )?unlicense"}, ""),
-    ("wtfpl", {"wtfpl": "wtfpl"}, "1|2"),
-    ("psf", {"python": "python software foundation", "psf": "psf"}, "2"),
-    ("php", {"php": "php"}, "3 0|3 01"),
-    ("ofl", {"sil": "sil open font", "ofl": "ofl", "font": "open font"}, "1 0|1 1"),
-    ("ms-pl", {"microsoft": "microsoft public", "ms": "ms pl"}, ""),
-    ("ms-rl", {"reciprocal": "microsoft reciprocal"}, ""),
-    ("osl", {"open": "open software", "osl": "osl"}, "1 0|2 0|2 1|3 0"),
-    ("afl", {"academic": "academic free", "afl": "afl"}, "1 1|2 0|2 1|3 0"),
-    ("upl", {"universal": "universal permissive", "upl": "upl"}, "1 0"),
-    ("ncsa", {"ncsa": "(?:university of illinois )?ncsa(?: open source)?"}, ""),
-    ("odbl", {"database": "open (?:data commons open )?database", "odbl": "odbl"}, "1 0"),
-    ("odc-by", {"odc": "odc(?: by| attribution)"}, "1 0"),
-    ("cdla", {"cdla": "cdla(?: permissive| sharing)?", "data": "community data"}, "1 0|2 0"),
-    ("cecill", {"cecill": "cecill(?: b| c)?"}, "1 0|2 0|2 1"),
-    ("openssl", {"openssl": "openssl(?: ssleay)?"}, ""),
-    ("postgresql", {"postgresql": "postgresql"}, ""),
-    ("ruby", {"ruby": "ruby"}, ""),
-    ("vim", {"vim": "vim"}, ""),
-    ("w3c", {"w3c": "w3c(?: software(?: notice)?(?: and)?)?"}, ""),
-    ("x11", {"x11": "x11"}, ""),
-    ("zpl", {"zope": "zope public", "zpl": "zpl"}, "1 1|2 0|2 1"),
-    ("openrail", {"openrail": "(?:creativeml |bigscience )?openrail(?: m| s| \\+\\+)?", "responsible": "responsible ai", "rail": "rail"}, "1 0"),
-    ("llama", {"llama": "llama(?: [23])?(?: community)?"}, "2|3|3 1"),
-    ("sspl", {"sspl": "sspl", "server": "server side public"}, "1"),
-    ("busl", {"business": "business source", "busl": "busl"}, "1 1"),
-    ("elastic", {"elastic": "elastic"}, "2 0"),
-]
-
-#: Creative Commons: label, words after "cc" or "creative commons".
-COMMONS = [
-    ("cc-by-nc-nd", "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?"),
-    ("cc-by-nc-sa", "by nc sa|attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "by nc|attribution non ?commercial"),
-    ("cc-by-nd", "by nd|attribution no ?deriv(?:ative)?s?"),
-    ("cc-by-sa", "by sa|attribution share ?alike"),
-    ("cc-by", "by|attribution"),
-    ("cc0", "0|zero"),
-]
-
-#: Statements that are no named license.
-STATEMENTS = [
-    ("copyright", "reserved", "all rights reserved"),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("public-domain", "domain", "(?:dedicated to|released into|placed in|in) the public domain"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-]
-
 #: Confidence by tier.
 TIERS = {0: 1.0, 1: 0.95, 2: 0.8, 3: 0.6}
-_WORD = "(?<![^ ])(?:{})(?![^ ])"
-_GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|covered|made available|redistributed|shared|dual licensed)"
-
-
-def rules() -> list[tuple[int, int, str, str, str]]:
-    """(order, tier, label, keyword, regex) of every signature rule, in order of priority."""
-    found: list[tuple[int, str, str, str]] = []
-    for label, names, versions in FAMILIES:
-        ver = f"(?: (?:version|v) ?(?:{versions})| (?:{versions}))?(?: or(?: at your option)? (?:any )?later(?: version)?)?" if versions else ""
-        for keyword, name in names.items():
-            found += [
-                (0, label, keyword, f"spdx licen[sc]e identifier {name}(?: (?:{versions or '0'}))?(?: only| or later)?"),
-                (1, label, keyword, f"{_GRANT} under (?:the )?(?:terms of )?(?:the |an? )?{name}(?: style)?(?: licen[sc]es?)?{ver}"),
-                (1, label, keyword, f"(?:subject to|terms and conditions of|governed by|in accordance with) the {name}(?: licen[sc]e)?{ver}"),
-                (1, label, keyword, f"licen[sc]e (?:is )?(?:the )?{name}(?: licen[sc]e)?{ver}"),
-                (2, label, keyword, f"{name}(?: style)? licen[sc]es?{ver}" if "unlicense" not in name else name),
-                (2, label, keyword, f"{name}{ver} licensed"),
-            ]
-    for label, words in COMMONS:
-        for keyword, name in (("cc", "cc"), ("commons", "creative commons")):
-            ver = "(?: (?:[1-4] [05]|[1-4]))?(?: (?:international|unported|generic|universal))?"
-            found += [
-                (0, label, keyword, f"spdx licen[sc]e identifier {name} (?:{words}){ver}"),
-                (1, label, keyword, f"{_GRANT} under (?:the |an? )?(?:terms of the )?{name} (?:{words}){ver}(?: licen[sc]e)?"),
-                (2, label, keyword, f"{name} (?:{words}){ver}(?: licen[sc]e)?"),
-            ]
-    found += [(3, label, keyword, words) for label, keyword, words in STATEMENTS]
-    found.sort(key=lambda r: r[0])
-    return [(i, tier, label, keyword, _WORD.format(regex)) for i, (tier, label, keyword, regex) in enumerate(found)]
-
-
-#: A row is scanned if its text has a rule's keyword, in any case; every match contains its rule's keyword as a word.
-GATE = "(?i)" + "|".join(sorted({keyword for _, _, _, keyword, _ in rules()}))
-
-
-def _blanks(c: Column) -> Column:
-    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))
-
-
-def _intervals(words: Column, rule: Column) -> Column:
-    """The matches of a rule as structs; ``rule`` is a struct of order, tier, label and regex."""
-    parts = F.split(F.regexp_replace(words, rule["regex"], F.lit("\u0001$0\u0002")), "\u0001")
-    kind = "array<struct<start:int,back:int,tier:int,order:int,label:string>>"
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_INTERVALS = "array<struct<start:int,back:int,tier:int,order:int,label:string>>"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, in order; none for null."""
+    lowered = F.translate(clean_text(text), _CAPITALS, _SMALL)
+    return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
+def american(c: Column) -> Column:
+    return F.replace(c, F.lit("licence"), F.lit("license"))
+
+
+def _count(c: Column) -> Column:
+    """How many words a piece of ``<word><word>`` has."""
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit("<"), F.lit("")))
+
+
+def _intervals(tagged: Column, rule: Column) -> Column:
+    """The matches of a rule as structs; ``rule`` is a struct of order, tier, label, needs and regex."""
+    parts = F.split(F.regexp_replace(tagged, rule["regex"], F.lit("\u0001$0\u0002")), "\u0001")
 
     def step(acc: Column, part: Column) -> Column:
-        long = _blanks(F.substring_index(part, "\u0002", 1)) + 1
-        one = F.struct(
-            acc["at"].alias("start"), (-(acc["at"] + long)).alias("back"), rule["tier"].alias("tier"), rule["order"].alias("order"), rule["label"].alias("label")
-        )
-        return F.struct((acc["at"] + _blanks(part)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        end = acc["at"] + _count(F.substring_index(part, "\u0002", 1))
+        one = F.struct(acc["at"].alias("start"), (-end).alias("back"), rule["tier"].alias("tier"), rule["order"].alias("order"), rule["label"].alias("label"))
+        return F.struct((acc["at"] + _count(part)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    start = F.struct(_blanks(F.element_at(parts, 1)).alias("at"), F.array().cast(kind).alias("out"))
+    start = F.struct(_count(F.element_at(parts, 1)).alias("at"), F.array().cast(_INTERVALS).alias("out"))
     return F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda acc: acc["out"])
 
 
 def _unsuppressed(found: Column) -> Column:
     """Sorted intervals without those that lie within one of the same or a better tier."""
-    kind = "array<struct<start:int,back:int,tier:int,order:int,label:string>>"
     far = [f"e{t}" for t in TIERS]
 
     def step(acc: Column, x: Column) -> Column:
@@ -154,63 +63,120 @@ def _unsuppressed(found: Column) -> Column:
             F.when(reach >= end, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"),
         )
 
-    start = F.struct(*[F.lit(-1).alias(e) for e in far], F.array().cast(kind).alias("out"))
+    start = F.struct(*[F.lit(-1).alias(e) for e in far], F.array().cast(_INTERVALS).alias("out"))
     return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["out"])
 
 
+def _rule_map(table_: list[Rule]) -> Column:
+    """Longest keyword -> its rules."""
+    by_key: dict[str, list[Column]] = {}
+    for r in table_:
+        one = F.struct(F.lit(r.order).alias("order"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.needs)).alias("needs"), F.lit(r.regex).alias("regex"))
+        by_key.setdefault(r.needs[0], []).append(one)
+    return F.create_map(*[x for key, own in by_key.items() for x in (F.lit(key), F.array(*own))])
+
+
+def _base_places(words: Column) -> Column:
+    """(start, label) of every place where a base phrase's words stand consecutively."""
+
+    def here(word: Column, at: Column) -> Column:
+        found = F.lit(None)
+        for phrase, label in BASE_PHRASES:
+            *before, last = phrase.split()
+            fits = word == last
+            for back, earlier in enumerate(reversed(before), 1):
+                fits &= F.get(words, at - back) == earlier
+            found = F.when(fits, F.struct((at - len(before)).cast("long").alias("start"), F.lit(label).alias("label"))).otherwise(found)
+        return found
+
+    lasts = F.array(*map(F.lit, sorted({phrase.split()[-1] for phrase, _ in BASE_PHRASES})))
+    none = F.array().cast("array<struct<start:bigint,label:string>>")
+    return F.when(F.arrays_overlap(words, lasts), F.filter(F.transform(words, here), lambda x: x.isNotNull())).otherwise(none)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    ``detections`` are the intervals that stay (start word, end word, tier, label). Null and empty
-    texts have no words, empty labels and score 0; repeated rows are scanned one by one; a null id is
-    carried along; other columns are ignored. No shuffle: each row is judged on its own.
+    ``detections`` are the intervals that stay (start word, end word, tier, label), in the order of their
+    places. Null and empty texts have no words, null places, empty labels and score 0. Places are counted
+    in words, so line ends and characters of any script change nothing. Of two rules that match the very
+    same words the better tier, then the earlier rule, is named. Very long texts are scanned in whole:
+    a rule is one pass over the text, with memory in proportion to it. Repeated rows are scanned one by
+    one; a null id is carried along; other columns are ignored, whatever their names. An empty table
+    gives no rows. No shuffle: each row is judged on its own.
     """
     table_ = rules()
-    by_key: dict[str, list] = {}
-    for order, tier, label, keyword, regex in table_:
-        by_key.setdefault(keyword, []).append((order, tier, label, regex))
-    rule_map = F.create_map(*[
-        x
-        for keyword, own in by_key.items()
-        for x in (F.lit(keyword), F.array(*[F.struct(F.lit(o).alias("order"), F.lit(t).alias("tier"), F.lit(n).alias("label"), F.lit(r).alias("regex")) for o, t, n, r in own]))
-    ])
-    text = clean_text(F.col("text"))
-    lowered = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.when(text.rlike(GATE), F.trim(F.regexp_replace(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
-    base = _WORD.format("|".join(p for p, _ in BASE_PHRASES))
-    w = F.col("words")
-    has_base = w.contains(BASE_PHRASES[0][0].split()[-1])
-    before_first = F.substring(w, F.lit(1), F.regexp_instr(w, F.lit(base)) - 1)
-    before_last = F.regexp_extract(w, f"^(.*){base}", 1)
-    base_labels = F.array_sort(F.array_distinct(F.filter(
-        F.array(*[F.when(w.rlike(_WORD.format(p)), F.lit(label)) for p, label in BASE_PHRASES]), lambda x: x.isNotNull()
-    )))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counted = read.select("doc_id", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), words.alias("words"))
-    based = counted.select(
-        "doc_id", "n_words", "words",
-        F.when(has_base, F.regexp_count(w, F.lit(base))).otherwise(F.lit(0)).cast("long").alias("n_base"),
-        F.when(has_base, base_labels).otherwise(F.array().cast("array<string>")).alias("base"),
-        F.when(w.isNotNull(), F.array_sort(F.flatten(F.transform(
-            F.array_intersect(F.split(w, " "), F.array(*[F.lit(k) for k in by_key])),
-            lambda k: F.flatten(F.transform(F.element_at(rule_map, k), lambda rule: _intervals(w, rule))),
-        )))).alias("found"),
-    )
-    kept = based.select(
-        "doc_id", "n_words", "n_base", "base",
-        F.when(F.col("n_base") > 0, _blanks(before_first)).cast("long").alias("first_word"),
-        F.when(F.col("n_base") > 0, _blanks(before_last)).cast("long").alias("last_word"),
-        F.when(F.size("found") > 0, _unsuppressed(F.col("found"))).otherwise(F.array().cast("array<struct<start:int,back:int,tier:int,order:int,label:string>>")).alias("kept"),
-    )
-    confidence = F.coalesce(F.array_max(F.transform(F.col("kept"), lambda x: F.element_at(F.create_map(*[F.lit(v) for kv in TIERS.items() for v in kv]), x["tier"]))), F.lit(0.0))
+    needed = sorted({w for r in table_ for w in r.needs})
+    looked_for = F.array(*map(F.lit, dict.fromkeys(x for w in needed for x in (w, w.replace("license", "licence")))))
+    split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    keyed = split.select("doc_id", "words", F.array_distinct(F.transform(F.array_intersect("words", looked_for), american)).alias("keys"))
+    by_key = _rule_map(table_)
+
+    def run_rules(tagged: Column) -> Column:
+        at_key = lambda key: F.coalesce(F.element_at(by_key, key), F.array().cast("array<struct<order:int,tier:int,label:string,needs:array<string>,regex:string>>"))
+        open_ = F.filter(F.flatten(F.transform(F.col("keys"), at_key)), lambda rule: F.size(F.array_except(rule["needs"], F.col("keys"))) == 0)
+        return F.flatten(F.transform(open_, lambda rule: _intervals(tagged, rule)))
+
+    # the tagged text is bound once a row, as the one element of an array
+    tagged = american(F.concat(F.lit("<"), F.array_join("words", "><"), F.lit(">")))
+    found = F.when(F.size("keys") > 0, F.flatten(F.transform(F.array(tagged), run_rules)))
+    ruled = keyed.select("doc_id", F.size("words").cast("long").alias("n_words"), _base_places(F.col("words")).alias("base"), found.alias("found"))
+    kept = ruled.select("doc_id", "n_words", "base", F.when(F.size("found") > 0, _unsuppressed(F.col("found"))).otherwise(F.array().cast(_INTERVALS)).alias("kept"))
+    certainty = F.create_map(*[F.lit(v) for kv in TIERS.items() for v in kv])
+    confidence = F.coalesce(F.array_max(F.transform("kept", lambda x: F.element_at(certainty, x["tier"]))), F.lit(0.0))
+    starts, base_labels = (F.transform("base", lambda x: x[c]) for c in ("start", "label"))
     return kept.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.transform("kept", lambda x: x["label"])))), ",").alias("labels"),
-        F.greatest(confidence, F.when(F.col("n_base") > 0, F.lit(TIERS[2])).otherwise(F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("kept", lambda x: x["label"])))), ",").alias("labels"),
+        F.greatest(confidence, F.when(F.size("base") > 0, F.lit(TIERS[2])).otherwise(F.lit(0.0))).alias("score"),
         F.transform("kept", lambda x: F.struct(x["start"].alias("start_word"), (-x["back"]).alias("end_word"), x["tier"].alias("tier"), x["label"].alias("label"))).alias("detections"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sql() -> str:
+    values = ",\n  ".join(f"({r.order}, {r.tier}, {_quoted(r.label)}, {_quoted(r.needs[0])}, {_quoted(r.regex)})" for r in rules())
+    phrases = " UNION ALL ".join(
+        f"SELECT r, i - {len(p.split()) - 1} AS a, {_quoted(label)} AS label FROM places WHERE i >= {len(p.split()) - 1} AND " + " AND ".join(f"w[i + 1 - {back}] = {_quoted(word)}" for back, word in enumerate(reversed(p.split()))) for p, label in BASE_PHRASES
+    )
+    certainty = " ".join(f"WHEN {t} THEN {c}" for t, c in TIERS.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+base AS ({phrases}),
+based AS (SELECT r, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+rules(o, tier, label, key, re) AS (VALUES
+  {values}),
+tagged AS (SELECT r, replace('<' || array_to_string(w, '><') || '>', 'licence', 'license') AS s FROM d WHERE len(w) > 0),
+parts AS (
+  SELECT r, o, tier, label, string_split(regexp_replace(s, re, chr(1) || '\0' || chr(2), 'g'), chr(1)) AS p
+  FROM tagged JOIN rules ON contains(s, '<' || key || '>') AND regexp_matches(s, re)),
+counted AS (
+  SELECT r, o, tier, label, list_transform(p, lambda x: len(x) - len(replace(x, '<', ''))) AS whole,
+    list_transform(p, lambda x: len(split_part(x, chr(2), 1)) - len(replace(split_part(x, chr(2), 1), '<', ''))) AS own FROM parts),
+hits AS (
+  SELECT r, o, tier, label, list_sum(whole[:k])::BIGINT AS a, (list_sum(whole[:k]) + own[k + 1])::BIGINT AS z
+  FROM (SELECT *, unnest(range(1, len(whole))) AS k FROM counted)),
+kept AS (
+  SELECT * FROM hits x WHERE NOT EXISTS (
+    SELECT 1 FROM hits y WHERE y.r = x.r AND y.tier <= x.tier AND y.a <= x.a AND y.z >= x.z AND (y.a < x.a OR y.z > x.z OR y.tier < x.tier OR y.o < x.o))),
+named AS (SELECT r, label FROM kept UNION SELECT r, label FROM base),
+labelled AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY r),
+scored AS (SELECT r, max(CASE tier {certainty} END) AS score FROM kept GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(score, 0), CASE WHEN n_base > 0 THEN {TIERS[2]} ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN based USING (r) LEFT JOIN labelled USING (r) LEFT JOIN scored USING (r)
+"""
+
+
+SQL = _sql()

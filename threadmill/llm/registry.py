@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_prefix_tree_jaccard": jaccard.query,
 }
 _ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.SQL,
     "op2_block_max_wand_search": search.SQL,
     "op5_wu_manber_decontamination": decontaminate.SQL,
     "op8_typed_chat_format": chat.SQL,
