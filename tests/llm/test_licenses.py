@@ -16,7 +16,7 @@ CASES = [
     ("dedicated to the public\r\n   domain", "public-domain", 0.6), ("all rights\nreserved", "copyright", 0.6), ("licensed under cc by-nc 4.0", "cc-by-nc", 0.95), ("SPDX-License-Identifier: Apache-2.0", "apache", 1.0),
     ("This is the GNU Lesser General Public License, version 2.1", "gpl,lgpl", 0.8), ("the MIT licence", "mit", 0.8), ("licenced under the Apache Licence, Version 2.0", "apache", 0.95), ("mit license apache license mit license", "apache,mit", 0.95),
     ("\U0001f600 \U0001f600 \U0001f600 \U0001f600 MIT License and then some", "mit", 0.8), ("a\u0085b c d mit license", "mit", 0.8), ("a\u2028mit license\u2029b c\u2028d apache license", "apache", 0.8), ("\u2028 mit license \u2029 b apache license", "apache,mit", 0.8),
-    ("Été: \U0001f4c4general public license mit license", "mit", 0.8), ("© 2020 somebody", "copyright", 0.6), ("x" * 500_000 + " mit license", "mit", 0.8), ("word " * 40_000 + "apache license", "apache", 0.8), ("general general public license", "gpl", 0.8),
+    ("Été: \U0001f4c4general public license mit license", "mit", 0.95), ("© 2020 somebody", "copyright", 0.6), ("x" * 500_000 + " mit license", "mit", 0.8), ("word " * 40_000 + "apache license", "apache", 0.8), ("general general public license", "gpl", 0.8),
 ]
 
 
