@@ -44,16 +44,23 @@ class CleanConfig:
 
 @dataclass(frozen=True)
 class WordLists:
-    """Words that tell organisations from persons. They are data: pass your own lists for your corpus."""
+    """Words that tell organisations from persons. They are data: pass your own lists for your corpus.
 
+    The defaults are a small general selection, by kind and language. Words are compared in lower case.
+    """
+
+    #: Whole words of organisations: bodies and units, then the same in other languages.
     words: tuple[str, ...] = (
-        "academy", "center", "centre", "department", "division", "faculty", "group", "institute", "laboratory", "lab", "office", "program", "programme", "school", "section", "unit", "university",
-        "research", "studies", "education", "management", "medicine", "physics", "mathematics", "philosophy", "policy", "law", "health", "engineering",
-        "afdeling", "bureau", "centrum", "faculteit", "groep", "instituut", "laboratorium", "onderzoek", "programma", "sectie", "universiteit", "onderwijs", "zorg", "geschiedenis",
+        "academy", "agency", "association", "authority", "bank", "board", "college", "commission", "committee", "company", "consortium", "corporation", "council", "department", "faculty",
+        "foundation", "hospital", "institute", "laboratory", "library", "ministry", "museum", "network", "observatory", "organisation", "organization", "school", "society", "trust", "university",
+        "hochschule", "universität", "klinikum", "verein", "gesellschaft", "université", "laboratoire", "école", "universidad", "facultad", "escuela", "università", "universiteit", "hogeschool", "ziekenhuis", "stichting",
     )
-    prefixes: tuple[str, ...] = ("department ", "faculty ", "section ", "research ", "school ", "center ", "centre ", "institute ", "university ", "rs:")
-    endings: tuple[str, ...] = ("ology", "ologies", "onomy", "nomics", "istics", "metry", "chemistry", "sciences", "science", "therapy", "surgery", "systems", "kunde", "logie", "wetenschap", "wetenschappen", "techniek", "chirurgie", "recht")
-    particles: tuple[str, ...] = ("van", "von", "de", "del", "der", "den", "ten", "ter", "te", "la", "le", "du", "di", "da", "dos", "des", "el", "al", "bin", "ibn")
-    titles: tuple[str, ...] = ("prof", "professor", "dr", "drs", "ir", "mr", "ing", "ba", "bsc", "ma", "msc", "phd", "ph.d", "emeritus", "emerita", "hoogleraar")
-    suffixes: tuple[str, ...] = ("jr", "sr", "ii", "iii", "iv", "phd", "ph.d", "md", "m.d", "esq")
-    institutions: dict[str, str] = field(default_factory=dict)
+    #: What only the start of an organisation's name has.
+    prefixes: tuple[str, ...] = ("department of ", "faculty of ", "institute of ", "institute for ", "school of ", "college of ", "university of ", "ministry of ", "museum of ", "office of ", "centre for ", "center for ")
+    #: Endings of fields of study and of bodies.
+    endings: tuple[str, ...] = ("ology", "ography", "onomics", "matics", "sciences", "chemistry", "physics", "engineering", "wissenschaft", "wissenschaften", "institut", "stiftung")
+    #: What stands before a last name and belongs to it: Dutch, German, French, Italian, Spanish and Portuguese, Arabic.
+    particles: tuple[str, ...] = ("van", "de", "der", "den", "het", "ten", "ter", "von", "vom", "zu", "zum", "zur", "du", "des", "le", "la", "les", "di", "da", "dal", "della", "del", "dos", "el", "al", "bin", "ibn", "abu")
+    titles: tuple[str, ...] = ("mr", "mrs", "ms", "miss", "sir", "dame", "dr", "doctor", "prof", "professor", "emeritus", "emerita", "rev", "hon", "herr", "frau", "ir", "ing", "drs")
+    suffixes: tuple[str, ...] = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "dphil", "msc", "bsc", "mba", "esq")
+    institutions: dict[str, str] = field(default_factory=dict, hash=False)

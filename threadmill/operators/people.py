@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import WordLists
 from ..functions import text
 from ..functions.names import classify_udf, name_keys_udf, normalize_name, normalize_name_udf
+from .relational import MAX_BROADCAST_ROWS, dimension
 
 
 @dataclass(frozen=True)
@@ -42,20 +43,23 @@ def native_reason(name: Column, lists: WordLists) -> Column:
 def classify_contributors(df: DataFrame, column: str = "contributor", lists: WordLists = WordLists(), whitelist: list[str] = (), blacklist: list[str] = (), accept_ambiguous: bool = False, strict_initials: bool = False) -> Classified:
     """Accept, reject or review each contributor; the lists win over the rules, the whitelist over the blacklist.
 
-    Rules run once for each distinct normalised name and are joined back. A null contributor is the
-    text ``None``. Accepted ambiguous names keep the reason ``ambiguous`` and stay in the review.
+    Names are normalised and judged once for each distinct spelling and joined back. A null contributor
+    is the text ``None``. Accepted ambiguous names keep the reason ``ambiguous`` and stay in the review.
     """
-    spark = df.sparkSession
-    rows = df.withColumn("contributor_normalized", normalize_name_udf(F.coalesce(F.col(column), F.lit("None"))))
-    names = rows.select(F.col("contributor_normalized").alias("_name")).distinct()
-    ruled = names.withColumn("_r", classify_udf(lists, strict_initials)("_name"))
+    raw = F.coalesce(F.col(column), F.lit("None"))
+    spelled = df.select(raw.alias("_raw")).distinct().withColumn("contributor_normalized", normalize_name_udf("_raw"))
+    ruled = spelled.withColumn("_r", classify_udf(lists, strict_initials)("contributor_normalized"))
     listed = {normalize_name(x): "blacklist" for x in blacklist} | {normalize_name(x): "whitelist" for x in whitelist}
-    dim = spark.createDataFrame(list(listed.items()) or [("", "")], "_listed string, _list string").where(F.lit(bool(listed)))
-    ruled = ruled.join(F.broadcast(dim), F.col("_name") == F.col("_listed"), "left")
+    if listed:
+        dim = dimension(df.sparkSession, listed, "_listed", "_list")
+        dim = F.broadcast(dim) if len(listed) <= MAX_BROADCAST_ROWS else dim
+        ruled = ruled.join(dim, F.col("contributor_normalized") == F.col("_listed"), "left").drop("_listed")
+    else:
+        ruled = ruled.withColumn("_list", F.lit(None).cast("string"))
     by_rule = F.when((F.col("_r.decision") == "review") & F.lit(accept_ambiguous), F.lit("accept")).otherwise(F.col("_r.decision"))
     decision = F.when(F.col("_list") == "whitelist", "accept").when(F.col("_list") == "blacklist", "reject").otherwise(by_rule)
-    judged = ruled.select("_name", decision.alias("contributor_decision"), F.coalesce("_list", "_r.reason").alias("contributor_reason"))
-    all_rows = rows.join(judged, rows["contributor_normalized"] == judged["_name"], "left").drop("_name")
+    judged = ruled.select("_raw", "contributor_normalized", decision.alias("contributor_decision"), F.coalesce("_list", "_r.reason").alias("contributor_reason"))
+    all_rows = df.join(judged, raw == judged["_raw"], "left").drop("_raw")
     extra = ["contributor_normalized", "contributor_decision", "contributor_reason"]
     summary = all_rows.groupBy(column, *extra).agg(F.count("*").alias("n_rows")).orderBy("contributor_decision", F.desc("n_rows"), column)
     return Classified(
