@@ -19,6 +19,7 @@ from ..operators import people as P
 from ..operators import relational as R
 from ..operators import resolution as M
 from ..operators.similarity import ngram_similarity_all
+from ..stages import cut
 from .tables import LINE_ORDER, pairs, table
 
 _REF = "ref AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label)"
@@ -62,7 +63,7 @@ def works_year_window(spark, sf_dir):
     return M.works_in_window(joined, "publication_year", "year").select("integer_id", "work_id", "publication_year")
 
 
-_SUPPLIER_AFFILIATIONS = "sa AS (SELECT DISTINCT l_suppkey, n_name AS institution, r_name AS country, year(l_shipdate) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber = 7 AND l_quantity > 45)"
+_AFFILIATIONS = "sa AS (SELECT DISTINCT c_custkey, n_name AS institution, r_name AS country, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 def _nations(spark, sf_dir) -> DataFrame:
@@ -76,31 +77,32 @@ def _affiliations(long: DataFrame, key: str) -> DataFrame:
     return by_place.groupBy(key).agg(F.sort_array(F.collect_list(nested)).alias("affiliations"))
 
 
-def _supplier_affiliations(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity > 45").select("l_suppkey", F.year("l_shipdate").alias("year")).distinct()
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
-    return _affiliations(lines.join(suppliers, "l_suppkey").join(_nations(spark, sf_dir), "n_nationkey"), "l_suppkey")
+def _customer_affiliations(spark, sf_dir) -> DataFrame:
+    """A customer's nation in the years of its orders."""
+    years = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year")).distinct()
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return _affiliations(years.join(customers, "c_custkey").join(_nations(spark, sf_dir), "n_nationkey"), "c_custkey")
 
 
-@query(f"""WITH {_SUPPLIER_AFFILIATIONS} SELECT l_suppkey, y0::INT AS year,
+@query(f"""WITH {_AFFILIATIONS} SELECT c_custkey, y0::INT AS year,
   count(*) FILTER (y BETWEEN y0 - 1 AND y0) > 0 AS matches, coalesce(max(institution) FILTER (y BETWEEN y0 - 1 AND y0 AND country = 'ASIA'), '') AS institutions
-FROM sa, (VALUES (1996), (1998), (2000)) v(y0) GROUP BY l_suppkey, y0""")
+FROM sa, (VALUES (1995), (1998), (2002)) v(y0) GROUP BY c_custkey, y0""")
 def affiliation_window(spark, sf_dir):
-    rows = _supplier_affiliations(spark, sf_dir).withColumn("year", F.explode(F.array(*[F.lit(y) for y in (1996, 1998, 2000)])))
+    rows = _customer_affiliations(spark, sf_dir).withColumn("year", F.explode(F.array(*[F.lit(y) for y in (1995, 1998, 2002)])))
     own = F.col("affiliations")[0]["institution"]["display_name"]
-    return rows.select("l_suppkey", "year", M.affiliation_match(F.col("affiliations"), own, F.col("year"), -1).alias("matches"), F.array_join(M.target_institutions(F.col("affiliations"), F.col("year"), -1, "ASIA"), "|").alias("institutions"))
+    return rows.select("c_custkey", "year", M.affiliation_match(F.col("affiliations"), own, F.col("year"), -1).alias("matches"), F.array_join(M.target_institutions(F.col("affiliations"), F.col("year"), -1, "ASIA"), "|").alias("institutions"))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS cust, l_suppkey AS supp, l_partkey AS doi FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-p AS (SELECT DISTINCT cust, supp FROM a), mine AS (SELECT DISTINCT cust, doi FROM a WHERE doi % 5 <> 0), theirs AS (SELECT DISTINCT supp, doi FROM a WHERE doi % 3 <> 0)
+p AS (SELECT DISTINCT cust, supp FROM a), mine AS (SELECT DISTINCT cust, doi FROM a), theirs AS (SELECT DISTINCT supp, doi FROM a)
 SELECT p.cust, p.supp, count(*) AS n_shared FROM p JOIN mine USING (cust) JOIN theirs ON theirs.supp = p.supp AND theirs.doi = mine.doi GROUP BY ALL""")
 def shared_publications(spark, sf_dir):
     """Parts a customer bought that a supplier of its supplies."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
     bought = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("doi")).join(orders, "o_orderkey")
     both = bought.select("cust", "supp").distinct()
-    mine = both.join(bought.where("doi % 5 <> 0").select("cust", "doi").distinct(), "cust")
-    theirs = bought.where("doi % 3 <> 0").select("supp", "doi")
+    mine = both.join(bought.select("cust", "doi").distinct(), "cust")
+    theirs = bought.select("supp", "doi")
     return M.shared_publications(mine, theirs, ["supp"]).groupBy("cust", "supp").agg(F.count("*").alias("n_shared"))
 
 
@@ -146,43 +148,54 @@ def candidate_score(spark, sf_dir):
     return rows.select("c_custkey", M.match_score().cast("long").alias("match_score"))
 
 
-@query(f"""WITH {_SUPPLIER_AFFILIATIONS} SELECT l_suppkey, count(DISTINCT y)::INT AS n_years, min(y)::INT AS first_year, any_value(institution) AS institution,
-  coalesce(max(institution) FILTER (y = 1998), '') AS in_1998 FROM sa GROUP BY l_suppkey""")
+@query(f"""WITH {_AFFILIATIONS} SELECT c_custkey, count(DISTINCT y)::INT AS n_years, min(y)::INT AS first_year, any_value(institution) AS institution,
+  coalesce(max(institution) FILTER (y = 1998), '') AS in_1998 FROM sa GROUP BY c_custkey""")
 def affil_target_set(spark, sf_dir):
     a = F.col("affiliations")
     years = F.array_distinct(F.flatten(F.transform(a, lambda x: x["years"])))
-    return _supplier_affiliations(spark, sf_dir).select(
-        "l_suppkey", F.size(years).alias("n_years"), F.array_min(years).alias("first_year"), a[0]["institution"]["display_name"].alias("institution"), F.array_join(M.target_institutions(a, F.lit(1998), 0), "|").alias("in_1998")
+    return _customer_affiliations(spark, sf_dir).select(
+        "c_custkey", F.size(years).alias("n_years"), F.array_min(years).alias("first_year"), a[0]["institution"]["display_name"].alias("institution"), F.array_join(M.target_institutions(a, F.lit(1998), 0), "|").alias("in_1998")
     )
 
 
 @query("""SELECT o_orderkey, bool_or(s_nationkey = c_nationkey) AS same_grad_inst, bool_or(s_suppkey % 10 = 0) AS is_sup_in_pilot_dataset, count(DISTINCT s_suppkey) FILTER (s_nationkey = c_nationkey)::INT AS n_shared
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY o_orderkey""")
 def evidence_flags(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    pilot = suppliers.where("s_suppkey % 10 = 0").select("s_suppkey", F.lit(True).alias("_pilot"))
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
-    rows = lines.join(suppliers.join(pilot, "s_suppkey", "left"), "s_suppkey").join(orders, "o_orderkey")
-    same = F.col("s_nationkey") == F.col("c_nationkey")
-    return rows.groupBy("o_orderkey").agg(F.bool_or(same).alias("same_grad_inst"), F.bool_or(F.coalesce("_pilot", F.lit(False))).alias("is_sup_in_pilot_dataset"), F.count_if(same).cast("int").alias("n_shared"))
+    """Every supplier of an order is a contributor and its own only candidate."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("contributor_rank"), F.col("s_nationkey").alias("theirs"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("integer_id"), F.col("c_nationkey").alias("institution"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("integer_id"), F.col("l_suppkey").alias("contributor_rank")).distinct()
+    rows = lines.join(suppliers, "contributor_rank").join(orders, "integer_id").withColumn("contributor_name_source", F.col("contributor_rank").cast("string"))
+    candidates = rows.select("integer_id", "contributor_rank", F.col("contributor_rank").alias("author_id"), F.col("contributor_name_source").alias("display_name"), F.lit(True).alias("name_agrees"))
+    shared = rows.where("theirs = institution").select("integer_id", "contributor_rank", "institution")
+    none = rows.select("integer_id", "contributor_rank", F.lit(None).cast("long").alias("doi")).where("false")
+    pilot = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("author_id"))
+    found = M.contributor_evidence(rows, candidates, shared, none, none, pilot)
+    return found.groupBy(F.col("integer_id").alias("o_orderkey")).agg(F.bool_or("same_grad_inst").alias("same_grad_inst"), F.bool_or("is_sup_in_pilot_dataset").alias("is_sup_in_pilot_dataset"), F.sum("n_shared_inst_grad").cast("int").alias("n_shared"))
 
 
 # --- resolution from end to end -------------------------------------------------------------------
 
 _RESOLVE_SQL = """n_parts AS (SELECT max(p_partkey) + 1 AS n FROM part), n_vec AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
-people AS (SELECT c_custkey, c_nationkey, n_name AS institution, p_name AS display_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'O' || c_custkey // 8 END AS orcid FROM customer JOIN nation ON c_nationkey = n_nationkey, n_parts JOIN part ON p_partkey = c_custkey % n_parts.n),
-theses AS (SELECT o_orderkey AS integer_id, o_custkey, year(o_orderdate) AS year, display_name AS phd_name, institution FROM orders JOIN people ON o_custkey = c_custkey),
-hits AS (SELECT t.*, p.c_custkey AS author_id, p.display_name, p.orcid, p.institution AS their_institution, p.c_custkey % 4 AS api_rank FROM theses t JOIN people p ON p.c_custkey // 4 = t.o_custkey // 4),
+people AS MATERIALIZED (SELECT c_custkey, n_name AS institution, p_name AS display_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'O' || c_custkey // 8 END AS orcid FROM customer JOIN nation ON c_nationkey = n_nationkey, n_parts JOIN part ON p_partkey = c_custkey % n_parts.n),
+theses AS MATERIALIZED (SELECT o_orderkey AS integer_id, o_custkey, year(o_orderdate) AS year, display_name AS phd_name, institution FROM orders JOIN people ON o_custkey = c_custkey),
+hits AS MATERIALIZED (SELECT t.*, p.c_custkey AS author_id, p.display_name, p.orcid, p.institution AS their_institution, p.c_custkey % 4 AS api_rank FROM theses t JOIN people p ON p.c_custkey // 4 = t.o_custkey // 4),
 counts AS (SELECT integer_id, count(*) AS n_name_search_matches FROM hits GROUP BY integer_id),
-cand AS (SELECT *, (their_institution = institution AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = author_id AND year(o.o_orderdate) BETWEEN hits.year - 4 AND hits.year))::BOOLEAN AS affiliation_match
-  FROM hits WHERE upper(left(phd_name, 1)) = upper(left(display_name, 1)) AND upper(split_part(phd_name, ' ', 2)) = upper(split_part(display_name, ' ', 2))),
-works AS (SELECT c.integer_id, c.author_id, o.o_orderkey AS work_id, round(list_cosine_similarity(e1.embedding::DOUBLE[], e2.embedding::DOUBLE[]), 6) AS similarity
-  FROM cand c JOIN orders o ON o.o_custkey = c.author_id, n_vec JOIN embeddings e1 ON e1.vec_id = c.integer_id % n_vec.n JOIN embeddings e2 ON e2.vec_id = o.o_orderkey % n_vec.n WHERE year(o.o_orderdate) <= c.year + 1),
-ev AS (SELECT integer_id, author_id, max(similarity) AS max_similarity, count(*) FILTER (similarity >= 0.7) AS n_close FROM works GROUP BY ALL),
-scored AS (SELECT cand.*, coalesce(max_similarity, 0) AS max_similarity, coalesce(n_close, 0) AS n_close_matches,
+named AS MATERIALIZED (SELECT * FROM hits WHERE upper(left(phd_name, 1)) = upper(left(display_name, 1)) AND upper(split_part(phd_name, ' ', 2)) = upper(split_part(display_name, ' ', 2))),
+own_years AS (SELECT DISTINCT o_custkey AS author_id, year(o_orderdate) AS y FROM orders),
+at_home AS (SELECT integer_id, named.author_id FROM named JOIN own_years ON own_years.author_id = named.author_id WHERE y BETWEEN named.year - 4 AND named.year AND their_institution = institution GROUP BY ALL),
+cand AS MATERIALIZED (SELECT named.*, at_home.integer_id IS NOT NULL AS affiliation_match FROM named LEFT JOIN at_home USING (integer_id, author_id)),
+wide AS MATERIALIZED (SELECT c.integer_id, c.author_id, o.o_orderkey AS work_id, c.integer_id % n_vec.n AS va, o.o_orderkey % n_vec.n AS vb FROM cand c JOIN orders o ON o.o_custkey = c.author_id, n_vec WHERE year(o.o_orderdate) <= c.year + 1),
+sims AS MATERIALIZED (SELECT va, vb, round(list_cosine_similarity(e1.embedding::DOUBLE[], e2.embedding::DOUBLE[]), 6) AS similarity FROM (SELECT DISTINCT va, vb FROM wide) JOIN embeddings e1 ON e1.vec_id = va JOIN embeddings e2 ON e2.vec_id = vb),
+works AS MATERIALIZED (SELECT integer_id, author_id, work_id, similarity FROM wide JOIN sims USING (va, vb)),
+ev AS (SELECT integer_id, author_id, max(similarity) AS max_similarity, count(*) FILTER (similarity >= 0.7) AS n_close, string_agg(work_id::VARCHAR, '|' ORDER BY similarity DESC, work_id) AS titles,
+  string_agg(round(similarity * 1e6)::BIGINT::VARCHAR, '|' ORDER BY similarity DESC, work_id) AS title_similarities FROM works GROUP BY ALL),
+scored AS (SELECT cand.*, coalesce(max_similarity, 0) AS max_similarity, coalesce(n_close, 0) AS n_close_matches, titles, title_similarities,
   coalesce(n_close, 0) + 50 * (coalesce(max_similarity, 0) >= 0.99)::INT + 20 * (coalesce(max_similarity, 0) >= 0.9)::INT + 20 * affiliation_match::INT AS match_score FROM cand LEFT JOIN ev USING (integer_id, author_id)),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY integer_id ORDER BY match_score DESC, max_similarity DESC, api_rank, author_id) = 1)"""
+best AS MATERIALIZED (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY integer_id ORDER BY match_score DESC, max_similarity DESC, api_rank, author_id) = 1)"""
+
+#: What reports don't need of a resolved candidate: the lists of its works.
+_WORK_LISTS = {"titles": "array<string>", "work_ids": "array<string>", "title_similarities": "array<double>"}
 
 
 def _people(spark, sf_dir) -> DataFrame:
@@ -192,27 +205,25 @@ def _people(spark, sf_dir) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     named = customers.join(parts, F.col("c_custkey") % n == F.col("p_partkey")).join(F.broadcast(_nations(spark, sf_dir)), "n_nationkey")
     orcid = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("O"), F.floor(F.col("c_custkey") / 8).cast("string")))
-    return named.select(F.col("c_custkey").alias("author_id"), F.col("p_name").alias("display_name"), orcid.alias("orcid"), "institution", "country")
+    return cut(named.select(F.col("c_custkey").alias("author_id"), F.col("p_name").alias("display_name"), orcid.alias("orcid"), "institution", "country"))
 
 
-def _theses(spark, sf_dir) -> DataFrame:
-    people = _people(spark, sf_dir).select(F.col("author_id").alias("o_custkey"), F.col("display_name").alias("phd_name"), "institution")
+def _theses(spark, sf_dir, people: DataFrame) -> DataFrame:
+    own = people.select(F.col("author_id").alias("o_custkey"), F.col("display_name").alias("phd_name"), "institution")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("integer_id"), "o_custkey", F.year("o_orderdate").alias("year"))
-    return orders.join(people, "o_custkey").select("integer_id", F.concat(F.lit("thesis:"), F.col("integer_id").cast("string")).alias("thesis_identifier"), "institution", "phd_name", F.col("integer_id").cast("string").alias("title"), "year", "o_custkey")
+    return orders.join(own, "o_custkey").select("integer_id", F.concat(F.lit("thesis:"), F.col("integer_id").cast("string")).alias("thesis_identifier"), "institution", "phd_name", F.col("integer_id").cast("string").alias("title"), "year", "o_custkey")
 
 
-def _resolve(spark, sf_dir) -> DataFrame:
-    people = _people(spark, sf_dir)
+def _resolve(spark, sf_dir, people: DataFrame) -> DataFrame:
     own_years = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("author_id"), F.year("o_orderdate").alias("year")).distinct()
-    authors = people.join(_affiliations(own_years.join(people.select("author_id", "institution", "country"), "author_id"), "author_id"), "author_id", "left").select("author_id", "display_name", "orcid", "affiliations")
+    authors = people.join(_affiliations(own_years.join(people.select("author_id", "institution", "country"), "author_id"), "author_id").select("author_id", "affiliations"), "author_id", "left").select("author_id", "display_name", "orcid", "affiliations")
     block = lambda c: F.floor(F.col(c) / 4)
-    theses = _theses(spark, sf_dir)
     # the search service is asked by a query string: here the block of the candidate's key, next to the name
-    asked = theses.withColumn("phd_name", F.concat_ws("\t", "phd_name", block("o_custkey").cast("string")))
-    queries = asked.select(F.col("phd_name").alias("query_name"), block("o_custkey").alias("b")).distinct()
-    search = queries.join(people.select("author_id", block("author_id").alias("b"), (F.col("author_id") % 4).alias("api_rank")), "b").drop("b")
-    pairs_ = P.name_match_join(people, people, "display_name", "display_name")
-    by_query = queries.select("query_name", F.split_part(F.col("query_name"), F.lit("\t"), F.lit(1)).alias("left_name")).join(pairs_, "left_name").select(F.col("query_name").alias("left_name"), "right_name")
+    asked = _theses(spark, sf_dir, people).withColumn("phd_name", F.concat_ws("\t", "phd_name", block("o_custkey").cast("string")))
+    queries = people.select("display_name", block("author_id").alias("b")).distinct().withColumn("query_name", F.concat_ws("\t", "display_name", F.col("b").cast("string")))
+    search = queries.select("query_name", "b").join(people.select("author_id", block("author_id").alias("b"), (F.col("author_id") % 4).alias("api_rank")), "b").drop("b")
+    names = people.select("display_name").distinct()
+    by_query = queries.select("query_name", F.col("display_name").alias("left_name")).join(P.name_match_join(names, names, "display_name", "display_name"), "left_name").select(F.col("query_name").alias("left_name"), "right_name")
     orders = table(spark, sf_dir, "orders")
     authorships = orders.select(F.col("o_custkey").alias("author_id"), F.col("o_orderkey").alias("work_id"))
     works = orders.select(F.col("o_orderkey").alias("work_id"), F.col("o_orderkey").cast("string").alias("title"), F.year("o_orderdate").alias("publication_year"))
@@ -230,34 +241,37 @@ def _resolve(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_RESOLVE_SQL} SELECT integer_id, author_id, n_name_search_matches, max_similarity::DOUBLE AS max_similarity, n_close_matches::INT AS n_close_matches, affiliation_match, match_score::INT AS match_score, CASE WHEN match_score > 0 THEN 'ranking' END AS phd_match_by FROM best JOIN counts USING (integer_id)")
 def resolve_phd(spark, sf_dir):
-    return _resolve(spark, sf_dir).select("integer_id", "author_id", "n_name_search_matches", "max_similarity", "n_close_matches", "affiliation_match", F.col("match_score").cast("int").alias("match_score"), "phd_match_by")
+    return _resolve(spark, sf_dir, _people(spark, sf_dir)).select("integer_id", "author_id", "n_name_search_matches", "max_similarity", "n_close_matches", "affiliation_match", F.col("match_score").cast("int").alias("match_score"), "phd_match_by")
 
 
 _SUP_SQL = _RESOLVE_SQL + f""",
 c0 AS (SELECT o_orderkey AS integer_id, s_suppkey, s_name AS contributor_name_source, row_number() OVER (PARTITION BY o_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS contributor_rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey QUALIFY contributor_rank <= 10),
-c AS (SELECT c0.*, theses.institution, theses.year, best.author_id, best.match_score > 0 AS confirmed FROM c0 JOIN theses USING (integer_id) LEFT JOIN best USING (integer_id)),
-found AS (SELECT c.*, s.s_suppkey AS cand, s.s_name AS cand_name, s.s_suppkey % 2 = c.s_suppkey % 2 AS agrees, n.n_name AS cand_institution FROM c JOIN supplier s ON s.s_suppkey // 4 = c.s_suppkey // 4 JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE confirmed),
-hits2 AS (SELECT integer_id, contributor_rank, string_agg(cand_name, '|' ORDER BY cand) AS contributor_name, coalesce(string_agg(cand_name, '|' ORDER BY cand) FILTER (agrees), '') AS name_matches FROM found GROUP BY ALL),
-shared AS (SELECT DISTINCT f.integer_id, f.contributor_rank, f.cand_institution = f.institution AS same FROM found f JOIN people p ON p.c_custkey = f.author_id WHERE agrees AND p.institution = f.cand_institution),
-pubs AS (SELECT f.integer_id, f.contributor_rank, count(DISTINCT l.l_partkey) AS n FROM found f JOIN lineitem l ON l.l_orderkey = f.integer_id JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) m ON m.l_suppkey = f.cand AND m.l_partkey = l.l_partkey WHERE agrees GROUP BY ALL),
-evidence AS (SELECT c.integer_id, c.contributor_rank::INT AS contributor_rank, c.contributor_name_source, coalesce(contributor_name, '') AS contributor_name, coalesce(name_matches, '') AS name_matches,
-  shared.same IS NOT NULL AS contributor_confirmed, CASE WHEN shared.same IS NOT NULL THEN 'Shared affiliation at graduation.' ELSE '' END AS sup_match_by, coalesce(shared.same, false) AS same_grad_inst, coalesce(pubs.n, 0)::INT AS n_shared_pubs,
-  coalesce(EXISTS (SELECT 1 FROM found f WHERE f.integer_id = c.integer_id AND f.contributor_rank = c.contributor_rank AND agrees AND cand % 10 = 0), false) AS is_sup_in_pilot_dataset
+c AS MATERIALIZED (SELECT c0.*, theses.institution, theses.year, best.author_id, best.match_score > 0 AS confirmed FROM c0 JOIN theses USING (integer_id) LEFT JOIN best USING (integer_id)),
+found AS MATERIALIZED (SELECT c.*, s.s_suppkey AS cand, s.s_name AS cand_name, s.s_suppkey % 2 = c.s_suppkey % 2 AS agrees, n.n_name AS cand_institution FROM c JOIN supplier s ON s.s_suppkey // 4 = c.s_suppkey // 4 JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE confirmed),
+hits2 AS (SELECT integer_id, contributor_rank, string_agg(cand_name, '|' ORDER BY cand) AS contributor_name, string_agg(cand::VARCHAR, '|' ORDER BY cand) AS contributor_id, coalesce(string_agg(cand_name, '|' ORDER BY cand_name) FILTER (agrees), '') AS name_matches, bool_or(agrees AND cand % 10 = 0) AS pilot FROM found GROUP BY ALL),
+shared AS (SELECT f.integer_id, f.contributor_rank, count(DISTINCT f.cand_institution) AS n_inst, bool_or(f.cand_institution = f.institution) AS same FROM found f JOIN people p ON p.c_custkey = f.author_id WHERE agrees AND p.institution = f.cand_institution GROUP BY ALL),
+mine AS MATERIALIZED (SELECT DISTINCT l_orderkey AS integer_id, l_partkey AS doi FROM lineitem),
+theirs AS MATERIALIZED (SELECT DISTINCT l_suppkey AS cand, l_partkey AS doi FROM lineitem),
+common AS (SELECT DISTINCT f.integer_id, f.contributor_rank, doi FROM found f JOIN mine USING (integer_id) JOIN theirs USING (cand, doi) WHERE agrees),
+pubs AS (SELECT integer_id, contributor_rank, count(*) AS n, string_agg(doi::VARCHAR, '|' ORDER BY doi) AS dois FROM common GROUP BY ALL),
+evidence AS MATERIALIZED (SELECT c.integer_id, c.contributor_rank::INT AS contributor_rank, c.contributor_name_source, coalesce(contributor_name, '') AS contributor_name, coalesce(contributor_id, '') AS contributor_id, coalesce(name_matches, '') AS name_matches,
+  shared.same IS NOT NULL AS contributor_confirmed, CASE WHEN shared.same IS NOT NULL THEN 'Shared affiliation at graduation.' ELSE '' END AS sup_match_by, coalesce(shared.same, false) AS same_grad_inst, coalesce(n_inst, 0)::INT AS n_shared_inst_grad, coalesce(pubs.n, 0)::INT AS n_shared_pubs,
+  coalesce(dois, '') AS shared_pubs, coalesce(pilot, false) AS is_sup_in_pilot_dataset
   FROM c LEFT JOIN hits2 USING (integer_id, contributor_rank) LEFT JOIN shared USING (integer_id, contributor_rank) LEFT JOIN pubs USING (integer_id, contributor_rank))"""
 
 
-def _evidence(spark, sf_dir, best: DataFrame) -> DataFrame:
+def _evidence(spark, sf_dir, people: DataFrame, best: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("integer_id").orderBy(*LINE_ORDER))
     named = pairs(spark, sf_dir).withColumn("contributor_rank", rank).where("contributor_rank <= 10").withColumn("s", F.col("l_suppkey"))
     confirmed = best.where("phd_match_by IS NOT NULL").select("integer_id", "author_id")
-    theses = _theses(spark, sf_dir).select("integer_id", "institution")
+    theses = _theses(spark, sf_dir, people).select("integer_id", "institution")
     contributors = named.select("integer_id", "contributor_rank", F.col("contributor").alias("contributor_name_source"), "s").join(theses, "integer_id")
     suppliers = table(spark, sf_dir, "supplier").join(_nations(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cand"), "s_name", F.col("institution").alias("cand_institution"))
     hits = contributors.join(confirmed, "integer_id").withColumn("b", F.floor(F.col("s") / 4)).join(suppliers.withColumn("b", F.floor(F.col("cand") / 4)), "b")
     hits = hits.withColumn("name_agrees", F.col("cand") % 2 == F.col("s") % 2)
     agreed = hits.where("name_agrees")
-    people = _people(spark, sf_dir).select("author_id", F.col("institution").alias("phd_institution"))
-    shared = agreed.join(people, "author_id").where("phd_institution = cand_institution").select("integer_id", "contributor_rank", F.col("cand_institution").alias("institution"))
+    own = people.select("author_id", F.col("institution").alias("phd_institution"))
+    shared = agreed.join(own, "author_id").where("phd_institution = cand_institution").select("integer_id", "contributor_rank", F.col("cand_institution").alias("institution"))
     lines = table(spark, sf_dir, "lineitem")
     mine = lines.select(F.col("l_orderkey").alias("integer_id"), F.col("l_partkey").alias("doi")).distinct()
     theirs = lines.select(F.col("l_suppkey").alias("cand"), F.col("l_partkey").alias("doi")).distinct()
@@ -268,31 +282,50 @@ def _evidence(spark, sf_dir, best: DataFrame) -> DataFrame:
     return M.contributor_evidence(contributors, candidates, shared, pubs, none, pilot)
 
 
-@query(f"WITH {_SUP_SQL} SELECT * FROM evidence")
+def _joined(*columns: str) -> list:
+    return [F.array_join(F.col(c).cast("array<string>"), "|").alias(c) for c in columns]
+
+
+_SUP_COLUMNS = "integer_id, contributor_rank, contributor_name_source, contributor_name, contributor_id, name_matches, contributor_confirmed, sup_match_by, same_grad_inst, n_shared_inst_grad, n_shared_pubs, shared_pubs, is_sup_in_pilot_dataset"
+
+
+@query(f"WITH {_SUP_SQL} SELECT {_SUP_COLUMNS} FROM evidence")
 def supervisor_evidence(spark, sf_dir):
-    found = _evidence(spark, sf_dir, _resolve(spark, sf_dir).persist())
-    joined = [F.array_join(c, "|").alias(o) for c, o in (("contributor_name", "contributor_name"), ("name_matches_catalogue", "name_matches"))]
-    return found.select("integer_id", "contributor_rank", "contributor_name_source", *joined, "contributor_confirmed", "sup_match_by", "same_grad_inst", "n_shared_pubs", "is_sup_in_pilot_dataset")
+    people = _people(spark, sf_dir)
+    found = _evidence(spark, sf_dir, people, _resolve(spark, sf_dir, people).select("integer_id", "author_id", "phd_match_by"))
+    lists = ["contributor_name", "contributor_id", "shared_pubs"]
+    rest = [c for c in _SUP_COLUMNS.split(", ") if c not in (*lists, "name_matches")]
+    return found.select(*rest, *_joined(*lists), F.array_join("name_matches_catalogue", "|").alias("name_matches"))
 
 
-def relations(spark, sf_dir) -> DataFrame:
-    """The 34-column result over the driver tables."""
-    best = _resolve(spark, sf_dir).persist()  # it goes into the rows and into the evidence
-    return M.assemble(_theses(spark, sf_dir).drop("o_custkey"), best, _evidence(spark, sf_dir, best))
+def relations(spark, sf_dir, lists: bool = False) -> DataFrame:
+    """The 34-column result over the driver tables; the lists of a candidate's works are null unless asked for."""
+    people = _people(spark, sf_dir)
+    found = _resolve(spark, sf_dir, people)
+    best = cut(found if lists else found.drop(*_WORK_LISTS))  # it goes into the rows and into the evidence
+    whole = best if lists else best.withColumns({c: F.lit(None).cast(kind) for c, kind in _WORK_LISTS.items()})
+    return M.assemble(_theses(spark, sf_dir, people).drop("o_custkey"), whole, _evidence(spark, sf_dir, people, best))
 
 
 _REL_SQL = _SUP_SQL + """,
-rel AS (SELECT t.integer_id, coalesce(b.display_name, t.phd_name) AS phd_name, b.author_id AS phd_id, nullif(b.orcid, '') AS phd_orcid, n_name_search_matches::INT AS n_name_search_matches, t.year::INT AS year, nullif(b.max_similarity, 0)::DOUBLE AS max_title_similarity,
-  b.match_score::INT AS phd_match_score, CASE WHEN b.match_score > 0 THEN 'ranking' END AS phd_match_by, b.max_similarity >= 0.99 AS exact_match, b.max_similarity >= 0.9 AS near_exact_match, b.affiliation_match, e.contributor_rank, e.contributor_name_source, e.name_matches, e.contributor_confirmed, e.same_grad_inst, e.n_shared_pubs
+rel AS MATERIALIZED (SELECT t.integer_id, 'thesis:' || t.integer_id AS thesis_identifier, t.institution, coalesce(b.display_name, t.phd_name) AS phd_name, b.author_id AS phd_id, nullif(b.orcid, '') AS phd_orcid, n_name_search_matches::INT AS n_name_search_matches, NULL::VARCHAR AS duplicate_phds,
+  t.year::INT AS year, t.integer_id::VARCHAR AS title, coalesce(b.titles, CASE WHEN e.contributor_rank IS NOT NULL THEN t.integer_id::VARCHAR END) AS title_catalogue, b.title_similarities, nullif(b.max_similarity, 0)::DOUBLE AS max_title_similarity,
+  b.n_close_matches::INT AS n_close_matches, b.max_similarity >= 0.99 AS exact_match, b.max_similarity >= 0.9 AS near_exact_match, b.affiliation_match, b.match_score::INT AS phd_match_score, CASE WHEN b.match_score > 0 THEN 'ranking' END AS phd_match_by,
+  e.contributor_name_source, e.name_matches, e.contributor_confirmed, e.contributor_name, e.contributor_id, CASE WHEN e.contributor_rank IS NOT NULL THEN '' END AS contributor_orcid, e.sup_match_by, e.contributor_rank, e.same_grad_inst, e.n_shared_inst_grad,
+  e.is_sup_in_pilot_dataset, e.n_shared_pubs, e.shared_pubs, CASE WHEN e.contributor_rank IS NOT NULL THEN false END AS is_thesis_coauthor, NULL::VARCHAR AS processing_error
   FROM theses t LEFT JOIN best b USING (integer_id) LEFT JOIN counts ON counts.integer_id = b.integer_id LEFT JOIN evidence e ON e.integer_id = t.integer_id)"""
 
 
-@query(f"WITH {_REL_SQL} SELECT * EXCLUDE (name_matches, exact_match, near_exact_match, affiliation_match) FROM rel")
+@query(f"WITH {_REL_SQL} SELECT * RENAME (name_matches AS name_matches_catalogue) FROM rel")
 def author_relations(spark, sf_dir):
-    return relations(spark, sf_dir).select(
-        "integer_id", "phd_name", "phd_id", "phd_orcid", "n_name_search_matches", "year", "max_title_similarity", F.col("phd_match_score").cast("int").alias("phd_match_score"), "phd_match_by",
-        "contributor_rank", "contributor_name_source", "contributor_confirmed", "same_grad_inst", "n_shared_pubs",
-    )
+    """All 34 columns; lists are joined to texts, similarities are in millionths."""
+    rows = relations(spark, sf_dir, lists=True)
+    parts = F.transform("title_similarities", lambda x: F.round(x * 1_000_000).cast("long"))
+    lists = ("title_catalogue", "title_similarities", "name_matches_catalogue", "contributor_name", "contributor_id", "contributor_orcid", "shared_pubs")
+    ints = {"n_name_search_matches", "year", "n_close_matches", "phd_match_score", "contributor_rank", "n_shared_inst_grad", "n_shared_pubs"}
+    flat = rows.withColumn("title_similarities", parts).withColumn("duplicate_phds", F.to_json("duplicate_phds"))
+    joined = dict(zip(lists, _joined(*lists)))
+    return flat.select(*[joined.get(c, F.col(c).cast("int").alias(c) if c in ints else F.col(c)) for c in rows.columns])
 
 
 _DEDUP_SQL = """WITH x AS (SELECT c_custkey AS integer_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'O' || (c_custkey // 6) END AS orcid, CASE WHEN c_custkey % 11 <> 0 THEN 'A' || (c_custkey // 4) END AS aid,
@@ -355,4 +388,4 @@ def phd_flags(spark, sf_dir):
 @query(f"WITH {_REL_SQL}, missing AS (SELECT DISTINCT phd_name FROM rel WHERE phd_id IS NULL OR phd_match_score < 80) SELECT integer_id, phd_name, institution FROM theses WHERE phd_name IN (SELECT phd_name FROM missing)")
 def not_found_export(spark, sf_dir):
     weak = relations(spark, sf_dir).withColumn("phd_id", F.when(F.col("phd_match_score") >= 80, F.col("phd_id")))
-    return M.not_found_export(_theses(spark, sf_dir).select("integer_id", "phd_name", "institution"), weak)
+    return M.not_found_export(_theses(spark, sf_dir, _people(spark, sf_dir)).select("integer_id", "phd_name", "institution"), weak)
