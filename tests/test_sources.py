@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,11 +132,20 @@ def test_stream_of_pairs(spark, tmp_path):
     assert sorted(seen) == ["accept"] * 4 + ["reject"] * 2 + ["review"]
 
 
-def test_entry_without_the_corpus_operators():
-    import __spark_entry__ as e
-
-    assert "contributor_pivot" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
-    assert F is not None
+@pytest.mark.parametrize("broken", [False, True])
+def test_entry_without_the_corpus_operators(tmp_path, broken):
+    """In a copy of the repository without them, or with one that cannot be imported, the other queries are there."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "threadmill", tmp_path / "threadmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if broken:
+        (tmp_path / "threadmill/llm").mkdir()
+        (tmp_path / "threadmill/llm/__init__.py").write_text("")
+        (tmp_path / "threadmill/llm/registry.py").write_text("import a_package_that_is_not_there")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'contributor_pivot' in q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""}, check=False)
+    assert done.returncode == 0, done.stderr
+    assert ("a_package_that_is_not_there" in done.stderr) == broken
 
 
 def test_logs(tmp_path):

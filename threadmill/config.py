@@ -51,8 +51,8 @@ class WordLists:
 
     #: Whole words of organisations: bodies and units, then the same in other languages.
     words: tuple[str, ...] = (
-        "academy", "agency", "association", "authority", "bank", "board", "college", "commission", "committee", "company", "consortium", "corporation", "council", "department", "faculty",
-        "foundation", "hospital", "institute", "laboratory", "library", "ministry", "museum", "network", "observatory", "organisation", "organization", "school", "society", "trust", "university",
+        "academy", "agency", "association", "authority", "bank", "board", "center", "centre", "college", "commission", "committee", "company", "consortium", "corporation", "council", "department", "faculty",
+        "foundation", "group", "hospital", "institute", "laboratory", "library", "ministry", "museum", "network", "observatory", "organisation", "organization", "school", "society", "trust", "university",
         "hochschule", "universität", "klinikum", "verein", "gesellschaft", "université", "laboratoire", "école", "universidad", "facultad", "escuela", "università", "universiteit", "hogeschool", "ziekenhuis", "stichting",
     )
     #: What only the start of an organisation's name has.

@@ -69,3 +69,14 @@ def links_with_extension(html: Column, extension: str) -> Column:
 def raw_file_url(listing: str, path: Column) -> Column:
     """Where a file of a repository listing can be fetched."""
     return F.concat(F.lit(listing.rstrip("/").replace("/tree/", "/raw/refs/heads/") + "/"), F.element_at(F.split(path, "/"), -1))
+
+
+def json_fields(json: Column, fields: dict[str, tuple[str, object]]) -> dict[str, Column]:
+    """The named fields of a JSON text, as (type, default): the default stands for null, a missing field and no JSON."""
+    parsed = F.from_json(json, ", ".join(f"`{name}` {kind}" for name, (kind, _) in fields.items()))
+    return {name: F.coalesce(parsed[name], F.lit(default)) for name, (_, default) in fields.items()}
+
+
+def json_records(*columns: Column | str) -> Column:
+    """A list of one record with these columns, as JSON text."""
+    return F.to_json(F.array(F.struct(*columns)))

@@ -31,6 +31,38 @@ def equality_filter(df: DataFrame, column: str, value: object | None) -> DataFra
     return df if value is None else require_columns(df, [column]).where(F.col(column) == value)
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each row once; nulls are equal."""
+    return df.distinct()
+
+
+def row_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows each key has (``n_rows``); null keys are one key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+
+
+def rows_removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: n_before, n_after, n_removed. Two counts in one plan, none of them on the driver."""
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.col("n").alias(name)) for df, name in ((before, "n_before"), (after, "n_after"))]
+    return counted[0].join(counted[1], "k").select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"))
+
+
+def union_rows(df: DataFrame, other: DataFrame) -> DataFrame:
+    """All rows of both, by column name; a column that one of them lacks is null there."""
+    return df.unionByName(other, allowMissingColumns=True)
+
+
+def common_elements(a: Column, b: Column) -> Column:
+    """The sorted common elements of two arrays; null if there is none."""
+    both = F.sort_array(F.array_intersect(a, b))
+    return F.when(F.size(both) > 0, both)
+
+
+def suffix_number(name: str) -> int:
+    """The integer behind the last underscore of a column's name."""
+    return int(name.rsplit("_", 1)[1])
+
+
 def move_after(df: DataFrame, column: str, anchor: str) -> DataFrame:
     """The same columns with ``column`` right behind ``anchor``; last if there is no such anchor."""
     names = [c for c in df.columns if c != column]
@@ -80,6 +112,13 @@ def list_to_rows(df: DataFrame, array: str, value: str = "contributor", rank: st
     return df.select(*keys, F.posexplode(array).alias("_at", value)).select(*keys, (F.col("_at") + 1).cast("int").alias(rank), value)
 
 
+def columns_to_rows(df: DataFrame, keys: list[str], prefix: str, value: str = "contributor", rank: str = "contributor_rank") -> DataFrame:
+    """One row per non-null column of ``prefix``, with the number behind its name as rank."""
+    named = sorted((suffix_number(c), c) for c in df.columns if c.startswith(prefix))
+    cells = F.array(*[F.struct(F.lit(n).alias(rank), F.col(c).alias(value)) for n, c in named])
+    return df.select(*keys, F.explode(F.filter(cells, lambda x: x[value].isNotNull())).alias("_cell")).select(*keys, f"_cell.{rank}", f"_cell.{value}")
+
+
 def first_n(array: Column, n: int) -> Column:
     """The first ``n`` non-null elements: gaps close up."""
     return F.slice(F.filter(array, lambda x: x.isNotNull()), 1, n)
@@ -115,9 +154,17 @@ def members(df: DataFrame, other: DataFrame, key: str, present: bool = True) ->
 
 
 def align_to(sample: DataFrame, table: DataFrame, key: str, position: str) -> DataFrame:
-    """Rows of ``table`` in the order of ``sample``; keys that it lacks give rows of nulls."""
+    """Rows of ``table`` in the order of ``sample``; keys that it lacks give rows of nulls.
+
+    For samples: the result is sorted as a whole. A key that ``table`` has more than once has no one row
+    to give, and fails the job with an error that names it.
+    """
     rest = [c for c in table.columns if c != key]
-    return sample.select(key, position).join(table, key, "left").select(position, key, *rest).orderBy(position)
+    wanted = table.join(sample.select(key).distinct(), key, "left_semi")
+    twice = F.raise_error(F.concat(F.lit(f"{key} occurs more than once: "), F.col(key).cast("string")))
+    rows = wanted.groupBy(key).agg(F.first(F.struct(*rest)).alias("_row"), F.count("*").alias("_n"))
+    rows = rows.select(key, F.when(F.col("_n") > 1, twice.cast(rows.schema["_row"].dataType)).otherwise(F.col("_row")).alias("_row"))
+    return sample.select(key, position).join(rows, key, "left").select(position, key, *[F.col("_row")[c].alias(c) for c in rest]).orderBy(position)
 
 
 def row_numbers(df: DataFrame, key: str, name: str = "row_number", buckets: int | None = None) -> DataFrame:
@@ -139,10 +186,16 @@ def row_numbers(df: DataFrame, key: str, name: str = "row_number", buckets: int
 
 
 def chunk(df: DataFrame, key: str, size: int, index: int) -> DataFrame:
-    """The rows of chunk ``index`` in the order of ``key``; beyond the end the last chunk, of an empty table none."""
-    numbered = row_numbers(df, key, "_at")
-    last = (df.count() - 1) // size
-    return numbered.where(F.floor(F.col("_at") / size) == min(index, max(last, 0))).drop("_at")
+    """The rows of chunk ``index`` in the order of ``key``, which is unique; beyond the end the last chunk, of an empty table none.
+
+    Two sorts of keys alone, each cut at once to what the chunk needs: the first (index + 1) * size keys
+    say where it ends, and its own keys pick the rows.
+    """
+    last = max((df.count() - 1) // size, 0)
+    at = min(index, last)
+    head = df.select(key).orderBy(key).limit((at + 1) * size)
+    own = head.orderBy(F.desc(key)).limit(size if at < last else df.count() - at * size)
+    return df.join(own, key, "left_semi")
 
 
 def null_out_beyond(df: DataFrame, array: str, cutoff: int) -> DataFrame:

@@ -7,11 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .relational import row_numbers
+from ..stages import cut
+from .relational import MAX_BROADCAST_ROWS, row_numbers
+
+
+#: A sample that pandas would take needs a permutation of all row numbers, which is made on the driver.
+MAX_NUMPY_ROWS = 20_000_000
 
 
 def hash_order(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    """An order by a hash that any engine has: of the id's text, a colon and the seed."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def top_by_order(df: DataFrame, order: Column, id_col: str, n: int) -> DataFrame:
@@ -32,10 +38,17 @@ def numpy_positions(n_rows: int, n: int, seed: int) -> list[int]:
 
 
 def numpy_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """The rows that pandas would sample from the table in the order of ``id_col``, with their position."""
-    positions = numpy_positions(df.count(), n, seed)
+    """The rows that pandas would sample from the table in the order of ``id_col``, with their position.
+
+    For tables of up to ``MAX_NUMPY_ROWS`` rows, a ValueError beyond: ``sample_rows`` has no such bound.
+    """
+    n_rows = df.count()
+    if n_rows > MAX_NUMPY_ROWS:
+        raise ValueError(f"{n_rows} rows are too many for a sample as pandas takes it")
+    positions = numpy_positions(n_rows, n, seed)
     wanted = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(positions)] or [(-1, -1)], "_at long, position long")
-    return row_numbers(df, id_col, "_at").join(F.broadcast(wanted), "_at").drop("_at")
+    wanted = F.broadcast(wanted) if len(positions) <= MAX_BROADCAST_ROWS else wanted
+    return row_numbers(df, id_col, "_at").join(wanted, "_at").drop("_at")
 
 
 def sample_with_replacement_rows(df: DataFrame, unwanted: DataFrame, n: int, order: Column, replacement_order: Column, id_col: str) -> DataFrame:
@@ -44,7 +57,7 @@ def sample_with_replacement_rows(df: DataFrame, unwanted: DataFrame, n: int, ord
     Replacements have neither an unwanted id nor one of the base sample. Raises ValueError if there
     are too few of them, if an unwanted id is left, or if an id occurs twice.
     """
-    base = top_by_order(df, order, id_col, n).cache()
+    base = cut(top_by_order(df, order, id_col, n))
     bad = unwanted.select(id_col).distinct()
     marked = base.join(bad.withColumn("_bad", F.lit(True)), id_col, "left")
     holes = marked.where("_bad").select("position")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import title_normal_form
 from ..functions.vectors import dot
@@ -37,16 +38,41 @@ def encode_titles(titles: DataFrame, column: str, n: int = 3, size: int = 1024)
     return _with_vectors(distinct, n, size).select("normal", "vector")
 
 
-def ngram_similarity(pairs: DataFrame, title: str, reference: str) -> DataFrame:
-    """Add ``similarity`` of two title columns; null where one of them is blank or null."""
+def ngram_similarity(pairs: DataFrame, title: str, reference: str, encode: Callable[[DataFrame, str], DataFrame] = encode_titles) -> DataFrame:
+    """Add ``similarity`` of two title columns; null where one of them is blank or null. ``encode`` is as ``encode_titles``."""
     both = pairs.select(F.col(title).alias("t")).unionByName(pairs.select(F.col(reference).alias("t")))
-    vectors = encode_titles(both, "t")
+    vectors = encode(both, "t")
     keyed = pairs.withColumn("_a", title_normal_form(F.col(title))).withColumn("_b", title_normal_form(F.col(reference)))
     for key, out in (("_a", "_va"), ("_b", "_vb")):
         keyed = keyed.join(vectors.select(F.col("normal").alias(key), F.col("vector").alias(out)), key, "left")
     return keyed.withColumn("similarity", dot(F.col("_va"), F.col("_vb"))).drop("_a", "_b", "_va", "_vb")
 
 
+_models: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def model_encoder(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[DataFrame, str], DataFrame]:
+    """An encoder by a model: ``load`` gives a function from texts to rows of numbers, and runs once in each Python worker.
+
+    Workers keep the model under ``name``. A text whose vector has no length has none. Distinct titles
+    are encoded once, in Arrow batches.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if name not in _models:
+            _models[name] = load()
+        for texts in batches:
+            rows = np.asarray(_models[name](texts.to_pylist()), np.float64).reshape(len(texts), -1)
+            length = np.linalg.norm(rows, axis=1)
+            yield pa.array([list(row / n) if n > 0 else None for row, n in zip(rows, length)], pa.list_(pa.float64()))
+
+    def encode(titles: DataFrame, column: str) -> DataFrame:
+        distinct = titles.select(title_normal_form(F.col(column)).alias("normal")).where("trim(normal) <> ''").distinct()
+        return distinct.select("normal", F.arrow_udf(run, T.ArrayType(T.DoubleType()))(F.col("normal")).alias("vector"))
+
+    return encode
+
+
 def ngram_similarity_all(texts: DataFrame, references: DataFrame, text_id: str, text: str, reference_id: str, reference: str, n: int = 3, size: int = 1024) -> DataFrame:
     """(text_id, reference_id, similarity) of every text with every reference; null where one of them is blank or null.
 

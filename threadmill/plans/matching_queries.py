@@ -385,7 +385,8 @@ def phd_flags(spark, sf_dir):
     return relations(spark, sf_dir).where("phd_id IS NOT NULL").groupBy("phd_id").agg(F.bool_or(confirmed).alias("has_confirmed_contributor"))
 
 
-@query(f"WITH {_REL_SQL}, missing AS (SELECT DISTINCT phd_name FROM rel WHERE phd_id IS NULL OR phd_match_score < 80) SELECT integer_id, phd_name, institution FROM theses WHERE phd_name IN (SELECT phd_name FROM missing)")
+@query(f"WITH {_REL_SQL}, missing AS (SELECT DISTINCT phd_name FROM rel WHERE phd_id IS NULL OR phd_id % 997 = 0) SELECT integer_id, phd_name, institution FROM theses WHERE phd_name IN (SELECT phd_name FROM missing)")
 def not_found_export(spark, sf_dir):
-    weak = relations(spark, sf_dir).withColumn("phd_id", F.when(F.col("phd_match_score") >= 80, F.col("phd_id")))
-    return M.not_found_export(_theses(spark, sf_dir, _people(spark, sf_dir)).select("integer_id", "phd_name", "institution"), weak)
+    """As if every 997th author were missing: their theses, and those of their namesakes."""
+    found = relations(spark, sf_dir).withColumn("phd_id", F.when(F.col("phd_id") % 997 != 0, F.col("phd_id")))
+    return M.not_found_export(_theses(spark, sf_dir, _people(spark, sf_dir)).select("integer_id", "phd_name", "institution"), found)

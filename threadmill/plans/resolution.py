@@ -17,6 +17,7 @@ from ..operators import resolution as M
 from ..operators.similarity import ngram_similarity
 from ..sources.files import read_through
 from ..sources.lookup import name_to_id
+from ..stages import cut
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def link_theses(pubs: DataFrame, catalogue: Catalogue, similarity: Callable[[Dat
     names = theses.select(F.col("phd_name").alias("name")).unionByName(contributors.select(F.col("contributor_name_source").alias("name"))).where("name IS NOT NULL")
     hits = search_hits(names, catalogue)
     pairs = hits.where("name_agrees").select(F.col("query_name").alias("left_name"), F.col("display_name").alias("right_name")).distinct()
-    best = M.resolve_candidates(theses, catalogue.search, pairs, catalogue.authors, catalogue.authorships, catalogue.works, similarity, config).persist()  # it goes into the rows and the evidence
+    best = cut(M.resolve_candidates(theses, catalogue.search, pairs, catalogue.authors, catalogue.authorships, catalogue.works, similarity, config))  # it goes into the rows and the evidence
 
     confirmed = best.where("phd_match_by IS NOT NULL").select("integer_id", F.col("author_id").alias("_phd"), F.get("work_ids", F.lit(0)).alias("_thesis"))
     own = catalogue.authors.select(F.col("author_id").alias("_phd"), F.col("affiliations").alias("_own"))

@@ -21,7 +21,28 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("o_orderkey").alias("integer_id"), "year", "contributor", *LINE_ORDER)
 
 
-def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-word names from the start of each document."""
-    name = F.regexp_extract("text", r"^\s*(\S+\s+\S+)", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(name, r"\s+", " ").alias("name")).where("name <> ''")
+def text_lines(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """(key, name): every line of every whole text, white space tidied, without empty ones."""
+    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")
+    return table(spark, sf_dir, name).select(key, line).select(key, F.trim(F.regexp_replace("line", r"[ \t\n\x0B\f\r]+", " ")).alias("name")).where("name <> ''")
+
+
+#: Spellings of a two-word name as ``f l``, what standardising makes of them, and initial and surname components as SQL over f and l.
+NAME_FORMS = (
+    ("f || ' ' || l", "f || ' ' || l", "f", "l"),
+    ("l || ', ' || f", "f || ' ' || l", "f", "l"),
+    ("'Prof. dr. ' || f || ' ' || l", "f || ' ' || l", "f", "l"),
+    ("l || ', ' || f || ' M., PhD'", "f || ' M. ' || l", "f", "l"),
+    ("'van der ' || l || ', ' || f", "f || ' van der ' || l", "f", "l"),
+    ("l || ', ' || f || ' de'", "f || ' de ' || l", "f", "l"),
+    ("f || ' ' || l || '-' || f", "f || ' ' || l || '-' || f", "f", "l || '|' || f"),
+    ("f || ' (' || l || ') ' || l", "f || ' ' || l", "f", "l"),
+    ("'É. ' || l", "'É. ' || l", "'E'", "l"),
+)
+
+
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names, in all spellings."""
+    words = F.split("p_name", " ")
+    names = table(spark, sf_dir, "part").select("p_name").distinct().select(words[0].alias("f"), words[1].alias("l")).where("l IS NOT NULL")
+    return names.select(F.explode(F.array(*[F.expr(form) for form, *_ in NAME_FORMS])).alias("name")).distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
-from collections.abc import Callable, Iterable
+import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,16 +81,77 @@ def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame])
         return spark.read.parquet(path)
 
 
-def read_spreadsheets(spark: SparkSession, paths: Iterable[str], column: str = "supervisor") -> DataFrame:
-    """Distinct non-null values of a column of some XLSX files, which are read on the driver: they are small by nature."""
-    import pandas as pd
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
-    frames = [pd.read_excel(p) for p in paths]
-    for frame in frames:
-        if column not in frame.columns:
-            raise ValueError(f"missing columns: {column}")
-    values = sorted({str(v) for frame in frames for v in frame[column].dropna()})
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+
+def spreadsheet_rows(data: bytes) -> list[list[str | None]]:
+    """The cells of an XLSX file's first sheet as texts, row by row; empty cells are None."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        names = book.namelist()
+        text_of = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
+        shared = [text_of(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in names else []
+        sheet = ElementTree.fromstring(book.read(min(n for n in names if n.startswith("xl/worksheets/sheet"))))
+    rows = []
+    for row in sheet.iter(f"{_SHEET}row"):
+        cells: dict[int, str | None] = {}
+        for cell in row.iter(f"{_SHEET}c"):
+            at = 0
+            for letter in re.match("[A-Z]*", cell.get("r", ""))[0]:
+                at = at * 26 + ord(letter) - 64
+            value = cell.find(f"{_SHEET}v")
+            read = text_of(cell) if cell.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if cell.get("t") == "s" else value.text
+            cells[at or len(cells) + 1] = read
+        rows.append([cells.get(i + 1) for i in range(max(cells, default=0))])
+    return rows
+
+
+def read_spreadsheets(spark: SparkSession, paths: str, column: str = "supervisor") -> DataFrame:
+    """Distinct non-null values of a column of all XLSX files at a path or glob. Each file is read in one task, where it lies.
+
+    A file without the column fails the job.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                head, *rows = spreadsheet_rows(data) or [[]]
+                if column not in head:
+                    raise ValueError(f"missing columns: {column} in {path}")
+                at = head.index(column)
+                yield pa.RecordBatch.from_arrays([pa.array([r[at] if at < len(r) else None for r in rows], pa.string())], names=[column])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInArrow(run, f"`{column}` string").where(F.col(column).isNotNull()).distinct()
+
+
+def harvest_spreadsheets(spark: SparkSession, listing: str, fetch: Callable[[str], bytes], folder: str, column: str = "supervisor", extension: str = ".xlsx") -> DataFrame:
+    """Fetch every file that a listing page names, once, into ``folder``, and read a column of all of them.
+
+    ``fetch`` gives the bytes of a URL. ``folder`` is one that all executors see; files in it stay as they are.
+    """
+    page = fetch(listing).decode()
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for href in listed_files(page, extension):
+        file = spark._jvm.org.apache.hadoop.fs.Path(target, href.rsplit("/", 1)[-1])
+        if not system.exists(file):
+            out = system.create(file)
+            out.write(bytearray(fetch(f"{listing.rstrip('/').replace('/tree/', '/raw/refs/heads/')}/{href.rsplit('/', 1)[-1]}")))
+            out.close()
+    return read_spreadsheets(spark, f"{folder}/*{extension}", column)
+
+
+def write_classified(classified, folder: str) -> None:
+    """What was rejected and what is to be reviewed, as one CSV each."""
+    for name in ("rejected", "review"):
+        write_csv(getattr(classified, name), f"{folder}/{name}")
+
+
+def write_relations(relations: DataFrame, deduplicated: DataFrame, folder: str) -> None:
+    """The result before and after de-duplication, and the rows that failed, as one CSV each."""
+    write_csv(relations, f"{folder}/relations")
+    write_csv(deduplicated, f"{folder}/relations_deduplicated")
+    write_csv(relations.where("processing_error IS NOT NULL"), f"{folder}/exceptions")
 
 
 def listed_files(page: str, extension: str) -> list[str]:
