@@ -210,25 +210,34 @@ def brute_hits(text, items, window=13):
             if tuple(w[k : k + n]) in wins:
                 hit |= set(range(k, k + n))
                 named.add(i)
-    return len(w), len(hit), sorted(named)
+    return len(w), len(hit), len(named), sorted(str(i) for i in named if i is not None)
 
 
 def contamination_case(spark):
     random = np.random.default_rng(11)
     text = lambda n: " ".join(f"v{int(x)}" for x in random.integers(0, 6, n))
-    items = [(i, text(int(random.integers(0, 25)))) for i in range(30)] + [(50, "v1 v2 v3"), (51, "v1"), (52, None), (53, ""), (54, "v1 v2 v3"), (60, "Naïve, Words!")]
-    rows = [(i, text(int(random.integers(0, 60)))) for i in range(60)] + [(100 + i, f"x {t} y") for i, t in items if t] + [(200, None), (201, ""), (None, "v1"), (202, "naïve words")]
-    return items, rows, spark.createDataFrame(rows, "doc_id long, text string").withColumns({}), spark.createDataFrame(items + [(None, "v2 v2")], "item_id long, text string")
+    items = [(i, text(int(random.integers(0, 25)))) for i in range(30)] + [(50, "v1 v2 v3"), (51, "v1"), (52, None), (53, ""), (54, "v1 v2 v3"), (60, "Naïve, Words!"), (None, "v2 v2"), (None, "v5 v5 v5"), (70, text(400)), (71, text(200) + " v0" * 300)]
+    rows = [(i, text(int(random.integers(0, 60)))) for i in range(60)] + [(100 + i, f"x {t} y") for i, t in items if t and i is not None] + [(200, None), (201, ""), (None, "v1"), (202, "naïve words"), (203, text(5000)), (203, "v1 v1")]
+    return items, rows, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS _found", "8 AS _row"), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [decontaminate.MAX_SENT_BYTES, 0])
-def test_decontamination_equals_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "piece"), [(decontaminate.SHARD_BYTES, decontaminate.PIECE_WORDS), (8000, 50), (3000, 1)])
+def test_decontamination_equals_brute_force(spark, limit, piece):
     items, rows, docs, bench = contamination_case(spark)
-    got = decontaminate.find_contamination(docs, bench, max_sent_bytes=limit).collect()
+    got = decontaminate.find_contamination(docs.repartition(3), bench, keep=["doc_id", "_found", "_row"], shard_bytes=limit, piece_words=piece).collect()
     want = Counter((i, *map(str, brute_hits(t, items))) for i, t in rows)
-    assert Counter((r["doc_id"], str(r["n_words"]), str(r["n_hit"]), str(r["items"])) for r in got) == want
+    assert Counter((r["doc_id"], str(r["n_words"]), str(r["n_hit"]), str(r["n_items"]), str(r["items"])) for r in got) == want
     assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in got)
-    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in got)
+    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] and (r["_found"], r["_row"]) == (7, 8) for r in got)
+    assert all(a["end"] < b["start"] for r in got for a, b in zip(r["spans"], r["spans"][1:]))
+
+
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b/10", "one two"), ("a b", "three")], "item_id string, text string")
+    assert decontaminate.find_contamination(docs, bench).first()["items"] == ["a b", "b/10"]
+    with pytest.raises(ValueError, match="n_hit"):
+        decontaminate.find_contamination(docs, bench, keep=["doc_id", "n_hit"])
 
 
 def test_decontamination_of_nothing(spark, docs, empty):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stages import cut, shared_folder  # noqa: F401
+
 #: Bytes that part words: everything of ASCII but digits and letters.
 ALNUM_SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Bytes that part words where only ASCII white space does.
@@ -19,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one of our own only where none is set."""
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadmill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir()
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Bits of the filters below (8 MB). A fuller filter lets more pass, it never loses a key.
 FILTER_BITS = 1 << 26
 

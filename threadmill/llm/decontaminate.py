@@ -3,12 +3,14 @@
 An item's windows are its runs of 13 consecutive words (a shorter item is one window). Windows of
 equal length share a matcher: a shift table by blocks of three words says how far the search may
 jump, a suffix-hash bucket holds the windows that end in a block of shift 0, and a direct comparison
-of all words confirms an occurrence.
+of all words confirms an occurrence. A benchmark of any size is searched so: its items are dealt into
+pattern shards of bounded memory, one pass over the documents each.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,14 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_SEPARATORS, clean_text, table, translation
+from .common import ALNUM_SEPARATORS, cut, table, translation
 
 WINDOW = 13
 BLOCK = 3
 #: A document is contaminated if one of so many of its words is hit.
 ONE_IN = 20
-#: Benchmarks of more text than this are joined by window instead of being sent to all executors.
-MAX_SENT_BYTES = 64 << 20
+#: A pattern shard has about so many bytes of benchmark; its tables take up to 125 times as much memory in a worker (measured).
+SHARD_BYTES = 2 << 20
+#: Longer items are cut into pieces of so many words, which overlap so that every window is in one of them.
+PIECE_WORDS = 20_000
 _TO_WORDS = translation(ALNUM_SEPARATORS)
 
 
@@ -36,46 +40,88 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Finds all occurrences of word sequences of one length."""
+    """Finds all occurrences of word sequences of one length. Words are numbers of one vocabulary."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], frozenset[int]], length: int):
-        self.length, self.block = length, min(BLOCK, length)
-        self.windows = windows
+    def __init__(self, length: int, size: int):
+        self.length, self.block, self.size = length, min(BLOCK, length), size
         self.far = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[bytes, ...]]] = defaultdict(list)
-        for window in windows:
-            for end in range(self.block, length + 1):
-                block = window[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.far), length - end)
-            self.bucket[window[-self.block :]].append(window)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, frozenset[int]]]:
-        """Start and items of each occurrence."""
-        shift, far, size, length = self.shift, self.far, self.block, self.length
+        self.shift: dict[int, int] = {}
+        self.bucket: dict[int, dict[tuple[int, ...], set]] = defaultdict(dict)
+
+    def key(self, words: list[int], end: int) -> int:
+        """The block of words before ``end`` as one number."""
+        key = 0
+        for word in words[end - self.block : end]:
+            key = key * self.size + word
+        return key
+
+    def add(self, window: list[int], item: str | None) -> None:
+        shift, far, length = self.shift, self.far, self.length
+        for end in range(self.block, length + 1):
+            key = self.key(window, end)
+            if length - end < shift.get(key, far):
+                shift[key] = length - end
+        self.bucket[self.key(window, length)].setdefault(tuple(window), set()).add(item)
+
+    def search(self, words: list[int]) -> Iterator[tuple[int, set]]:
+        """Start and items of each occurrence. A word that no window has is -1."""
+        shift, far, size, length, block = self.shift, self.far, self.size, self.length, self.block
         at, end = length, len(words)
         while at <= end:
-            block = tuple(words[at - size : at])
-            jump = shift.get(block, far)
+            key = 0
+            for word in words[at - block : at]:
+                if word < 0:
+                    key = -1
+                    break
+                key = key * size + word
+            jump = shift.get(key, far)
             if jump:
                 at += jump
                 continue
-            here = tuple(words[at - length : at])
-            for window in self.bucket[block]:
-                if window == here:
-                    yield at - length, self.windows[window]
+            # the words themselves are compared, however many windows end in this block
+            items = self.bucket[key].get(tuple(words[at - length : at]))
+            if items is not None:
+                yield at - length, items
             at += 1
 
 
-def build_matchers(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[WuManber]:
-    """A matcher for each length of the items' windows; items without words have none."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
+class Patterns:
+    """The matchers of some items, one for each length of their windows; items without words have none."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        split = [(item, words_of(text)) for item, text in items]
+        self.vocabulary: dict[bytes, int] = {}
+        for _, words in split:
+            for word in words:
+                self.vocabulary.setdefault(word, len(self.vocabulary))
+        by_length: dict[int, WuManber] = {}
+        for item, words in split:
+            numbers = [self.vocabulary[w] for w in words]
+            n = min(window, len(words))
+            if n:
+                matcher = by_length.setdefault(n, WuManber(n, len(self.vocabulary)))
+                for at in range(len(words) - n + 1):
+                    matcher.add(numbers[at : at + n], item)
+        self.matchers = [by_length[n] for n in sorted(by_length)]
+
+    def find(self, text: str | bytes | None) -> tuple[int, list[tuple[int, int]], set]:
+        """Number of words, hit spans and items of a text."""
         words = words_of(text)
-        n = min(window, len(words))
-        for at in range(len(words) - n + 1 if n else 0):
-            by_length[n][tuple(words[at : at + n])].add(item)
-    return [WuManber({w: frozenset(x) for w, x in own.items()}, n) for n, own in sorted(by_length.items())]
+        known = self.vocabulary.get
+        numbers = [known(w, -1) for w in words]
+        found = [(start, start + m.length, who) for m in self.matchers for start, who in m.search(numbers)]
+        return len(words), _spans([x[:2] for x in found]), set().union(*(x[2] for x in found))
+
+
+_built: dict[str, Patterns] = {}
+
+
+def _patterns(key: str, items: list[tuple[str | None, str | None]], window: int) -> Patterns:
+    """The patterns of a worker: built once, and kept until others are asked for."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Patterns(items, window)
+    return _built[key]
 
 
 def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,103 +135,103 @@ def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_FOUND = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.LongType())),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-]
-_FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("unnamed", T.BooleanType())])
+_FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("unnamed", pa.bool_())])
 
 
-def _search_all(read: DataFrame, items: list[tuple[int, str | None]], window: int, keep: list[str]) -> DataFrame:
-    sent = read.sparkSession.sparkContext.broadcast([(i, t) for i, t in items if i is not None])
+def _searched(spark: SparkSession, items: list[tuple[str | None, str | None]], window: int) -> Column:
+    """What the search of ``text`` for some items finds, as a struct. Texts alone go to Python."""
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matchers = build_matchers(sent.value, window)
+        patterns = _patterns(*sent.value, window)
         for texts in batches:
             out = []
             for text in texts:
-                words = words_of(text.as_py())
-                found = [(start, start + m.length, who) for m in matchers for start, who in m.search(words)]
-                spans = _spans([x[:2] for x in found])
-                out.append({
-                    "n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(set().union(*(x[2] for x in found))), "spans": [{"start": a, "end": b} for a, b in spans],
-                })
+                n, spans, who = patterns.find(text.as_py())
+                out.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(x for x in who if x is not None), "unnamed": None in who})
             yield pa.array(out, _FOUND_ARROW)
 
-    # texts alone go to Python; what is carried along stays in the JVM
-    found = read.select(*keep, F.arrow_udf(run, T.StructType(_FOUND))(F.col("text")).alias("_found"))
-    return found.select(*keep, *[F.col("_found")[f.name].alias(f.name) for f in _FOUND])
-
-
-def _with_words(df: DataFrame) -> DataFrame:
-    """Add ``words``, the same as ``words_of`` gives."""
-    sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    lowered = F.translate(clean_text(F.col("text")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return df.withColumn("words", F.filter(F.split(lowered, sep), lambda x: x != ""))
-
-
-def _search_by_join(read: DataFrame, benchmark: DataFrame, window: int, keep: list[str]) -> DataFrame:
-    """The same rows by an equi-join on the windows themselves, for benchmarks too large to send."""
-    items = _with_words(benchmark.where("item_id is not null")).where(F.size("words") > 0)
-    size = F.least(F.size("words"), F.lit(window))
-    item_windows = items.select("item_id", size.alias("len"), F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice(F.col("words"), i, size), " ")
-    )).alias("w")).distinct()
-    lengths = sorted(r["len"] for r in item_windows.select("len").distinct().collect())  # at most ``window`` values
-    docs = _with_words(read.withColumn("row", F.monotonically_increasing_id()))
-
-    def of_length(n: int) -> Column:
-        """All windows of ``n`` words with their places."""
-        starts = F.sequence(F.lit(1), F.size("words") - n + 1)
-        windows = F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("start"), (i - 1 + n).cast("long").alias("end"), F.lit(n).alias("len"), F.array_join(F.slice(F.col("words"), i, n), " ").alias("w")))
-        return F.when(F.size("words") >= n, windows).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,len:int,w:string>>"))
-
-    spread = docs.select("row", F.explode(F.flatten(F.array(*map(of_length, lengths)))).alias("x")).select("row", "x.*") if lengths else None
-    if spread is None:
-        none = F.array().cast("array<bigint>")
-        return docs.select(*keep, F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    hits = spread.join(item_windows, ["len", "w"]).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
-    merged = F.aggregate(
-        F.col("all"), F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    hits = hits.select("row", "items", merged.alias("spans"))
-    joined = docs.join(hits, "row", "left")
-    spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return joined.select(
-        *keep, F.size("words").cast("long").alias("n_words"),
-        F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]).alias("n_hit"),
-        F.coalesce(F.col("items"), F.array().cast("array<bigint>")).alias("items"), spans.alias("spans"),
-    )
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, keep: list[str] | None = None, max_sent_bytes: int = MAX_SENT_BYTES) -> DataFrame:
-    """Per input row: the columns of ``keep`` and n_words, n_hit, items, spans, contaminated.
-
-    ``benchmark`` has item_id and text. Null and empty texts have no words and are never hit; items
-    without words or id are ignored; repeated rows are searched one by one, and equal items are all
-    named. The benchmark's size is measured: up to ``max_sent_bytes`` its texts go to every executor,
-    beyond that the windows of both sides meet in an equi-join. No shuffle in the usual case.
+    return F.arrow_udf(run, _FOUND)(F.col("text"))
+
+
+def _pieces(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """(item, text) with every window of every item in exactly one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                n = len(words) - min(window, len(words)) + 1 if words else 0
+                parts = [b" ".join(words[at : min(at + piece_words, n) + window - 1]).decode() for at in range(0, n, piece_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    return benchmark.mapInArrow(run, "item string, text string")
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, of which overlapping and touching ones become one."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (F.element_at(F.concat(acc, F.array(x)), -2)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """Per input row: the columns of ``keep`` and n_words, n_hit, n_items, items, spans, contaminated.
+
+    ``benchmark`` has item_id, of any type that has a text, and text. Null and empty texts have no words
+    and are never hit; items without words are ignored; items without id count as one item without a
+    name. Repeated rows are searched one by one, and equal items are all named. ``items`` are in the
+    order of their texts. Very long texts are searched in whole. ``keep`` may have any names but those of
+    the results, which are a ValueError; other columns are ignored. Empty tables give no rows or no hits.
+
+    The benchmark's size is measured. One of up to ``shard_bytes`` is searched in one pass without a
+    shuffle. A larger one is dealt into shards of that size by a hash of its pieces: documents are
+    written once with row numbers, each shard is one pass over them, and only rows with hits are shuffled.
     """
     keep = keep or ["doc_id"]
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    results = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
+    if set(keep) & set(results):
+        raise ValueError(f"columns of the result cannot be kept: {', '.join(sorted(set(keep) & set(results)))}")
+    spark = docs.sparkSession
+    read = docs.select(F.struct(*dict.fromkeys(keep)).alias("_keep"), F.col("text"))
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count("*")).first()[0]
-    if size <= max_sent_bytes:
-        found = _search_all(read, [tuple(r) for r in bench.collect()], window, keep)
+    if size <= shard_bytes:
+        found = read.select("_keep", _searched(spark, [tuple(r) for r in bench.collect()], window).alias("_found")).select("_keep", "_found.*")
     else:
-        found = _search_by_join(read, bench, window, keep)
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
+        pieces = cut(_pieces(bench, window, piece_words).where("text <> ''"))
+        n_shards = math.ceil(2 * size / shard_bytes)  # a hash deals unevenly
+        rows = cut(read.withColumn("_row", F.monotonically_increasing_id()))
+        hits = None
+        for shard in range(n_shards):
+            items = [tuple(r) for r in pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_shards)) == shard).collect()]
+            part = rows.select("_row", _searched(spark, items, window).alias("_found")).select("_row", "_found.*").where("size(spans) > 0").drop("n_words")
+            hits = cut(part) if hits is None else hits.unionByName(cut(part))
+        by_row = hits.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.bool_or("unnamed").alias("unnamed"))
+        counted = rows.select("_row", "_keep", _n_words(F.col("text")).alias("n_words"))
+        found = counted.join(by_row.withColumn("spans", _merged(F.col("spans"))), "_row", "left").select(
+            "_keep", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed")
+        )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    counted = found.select("_keep", "n_words", n_hit.alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), "items", "spans")
+    judged = counted.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
+    return judged.select(*[F.col("_keep")[c].alias(c) for c in dict.fromkeys(keep)], *results)
+
+
+def _n_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated"
-    )
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 SQL = r"""
