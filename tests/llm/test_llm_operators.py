@@ -417,19 +417,96 @@ def plain_url(url):
     return (lower_az(m[1]), m[2]) if m else ("", "")
 
 
-def test_urls(spark):
-    urls_ = [None, "", "no scheme", "http://A.example.org/en/1?x", "http://example.org/es/", "http://org", "https://x.org/", "http://b.com/de/1", "http://c.com/fr#f", "http://c.com/fr/a", "ftp://h://x", "http://notexample.org/en/1", "http://co.uk/a", "http://q.example.org/en/19"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)] + [(3, urls_[3])], "page_id long, url string")
-    outcomes = spark.createDataFrame([(12, 400, 0)], "page_id long, n long, good long")
-    got = {r["page_id"]: r for r in urls.judge_urls(pages, outcomes).collect()}
-    for i, u in enumerate(urls_):
+def plain_site(host):
+    """(site, domain, suffix) with suffixes of two labels."""
+    site = host.rsplit("@", 1)[-1]
+    site = re.sub(r":[0-9]*\Z", "", site)
+    site = (site[1:-1] if site[:1] == "[" and site[-1:] == "]" else site).rstrip(".")
+    if ":" in site or re.fullmatch(r"[0-9]+(\.[0-9]+){3}", site):
+        return site, site, "ip"
+    parts = site.split(".")
+    k = 2 if len(parts) >= 2 and ".".join(parts[-2:]) in urls.SUFFIXES else 1
+    return site, ".".join(parts[-k - 1 :]), ".".join(parts[-k:])
+
+
+def brute_verdicts(pages, outcomes):
+    """Verdict of each url without rules: counts by site, domain and suffix, level by level."""
+    labels = {i: (n, g) for i, n, g in outcomes}
+    counts = {}
+    for i, u in pages:
+        n, g = labels.get(i, (0, 0)) if i is not None else (0, 0)
+        key = plain_site(plain_url(u)[0])
+        counts[key] = tuple(map(sum, zip(counts.get(key, (0, 0)), (n, g))))
+
+    def level(groups):  # key -> n, good, prior mean
+        seen = [(n, g / n, min(max(m, 0.001), 0.999)) for n, g, m in groups.values() if n]
+        k, total = len(seen), sum(n for n, _, _ in seen)
+        chi = sum(n * (r - m) ** 2 / (m * (1 - m)) for n, r, m in seen)
+        room = total - sum(n * n for n, _, _ in seen) / total - (k - 1) if total else 0
+        rho = max((chi - (k - 1)) / room, 1e-4) if room > 0 else 1e-4
+        strength = min(max(1 / rho - 1, urls.MIN_STRENGTH), urls.MAX_STRENGTH)
+        return {key: (strength * min(max(m, 0.001), 0.999) + g, strength * (1 - min(max(m, 0.001), 0.999)) + n - g) for key, (n, g, m) in groups.items()}
+
+    def summed(key_of):
+        out = {}
+        for key, c in counts.items():
+            out[key_of(key)] = tuple(map(sum, zip(out.get(key_of(key), (0, 0)), c)))
+        return out
+
+    n, g = (sum(c[x] for c in counts.values()) for x in (0, 1))
+    by_suffix = level({k: (*c, (g + 1) / (n + 2)) for k, c in summed(lambda x: x[2]).items()})
+    mean = lambda ab: ab[0] / (ab[0] + ab[1])
+    by_domain = level({k: (*c, mean(by_suffix[k[1]])) for k, c in summed(lambda x: x[1:]).items()})
+    by_site = level({k: (*c, mean(by_domain[k[1:]])) for k, c in counts.items()})
+    upper = {k: mean((a, b)) + urls.Z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) for k, (a, b) in by_site.items()}
+    return {u: "block" if upper[plain_site(plain_url(u)[0])] < urls.LEAST_RATE else "allow" for _, u in pages}
+
+
+URLS = [None, "", "no scheme", "http://A.example.org/en/1?x", "http://example.org/es/", "http://org", "https://x.org/", "http://b.com/de/1", "http://c.com/fr#f", "http://c.com/fr/a", "ftp://h://x", "http://notexample.org/en/1", "http://co.uk/a", "http://q.example.org/en/19", "http://me:pw@Bad.net:8080/", "http://10.0.0.1/x", "http://10.0.0.2:80/x", "http://[::1]:80/", "http://bad.net./", "http://a.b.co.uk/", "http://bad.net\n/x"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_urls(spark, seed):
+    random = np.random.default_rng(seed)
+    hosts = ["bad.net", "a.bad.net", "b.bad.net", "good.net", "x.good.net", "one.co.uk", "two.co.uk", "a.one.co.uk", "10.0.0.1", "10.0.0.1:99", "u@good.net", "z.museum"]
+    pages = [(i, u) for i, u in enumerate(URLS)] + [(3, URLS[3]), (None, "http://bad.net/")] + [(100 + i, f"http://{random.choice(hosts)}/{i}") for i in range(300)]
+    bad = lambda u: "bad" in (u or "") or "10.0" in (u or "")
+    outcomes = [(i, 1 + int(random.integers(0, 3)), 0) if bad(u) and random.random() < 0.9 else (i, 2, 2) for i, u in pages if i is not None and i != 3 and random.random() < 0.6]
+    marked = spark.createDataFrame(outcomes, "page_id long, n long, good long")
+    frame = spark.createDataFrame([(*r, 1, 2) for r in pages], "page_id long, url string, site int, n int")
+    by_method = brute_verdicts(pages, outcomes)
+    assert {by_method[u] for _, u in pages if "bad.net/" in (u or "")} == {"block"} and "allow" in by_method.values()
+    got = urls.judge_urls(frame, marked).collect()
+    assert len(got) == len(pages)
+    want = Counter()
+    for i, u in pages:
         host, path = plain_url(u)
         fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, max(fits)[1] if fits else None)
-        assert got[i]["verdict"] == (max(fits)[2] if fits else "block" if i == 12 else got[i]["verdict"])
-    assert urls.judge_urls(pages, outcomes).count() == len(urls_) + 1
-    assert urls.judge_urls(pages.where("false"), outcomes).count() == 0
-    assert {r["verdict"] for r in urls.judge_urls(pages, outcomes.where("false")).where("rule IS NULL").collect()} == {"allow"}
+        want[i, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else by_method[u]] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    assert urls.judge_urls(frame.where("false"), marked).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(frame, marked.where("false")).where("rule IS NULL").collect()} == {"allow"}
+
+
+def test_of_equally_long_rules_the_last_one_counts(spark):
+    pages = spark.createDataFrame([(None, "http://a.b/cd")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, n long, good long")
+    rules = [("a.b", "/cd", "block"), ("a.b", "/c", "allow"), ("b", "/cd", "allow"), ("a.b", "/cd", "allow")]
+    assert tuple(urls.judge_urls(pages, none, rules=rules).select("rule", "verdict").first()) == ("a.b/cd", "allow")
+    assert tuple(urls.judge_urls(pages, none, rules=rules[::-1]).select("rule", "verdict").first()) == ("a.b/cd", "block")
+
+
+def test_public_suffixes_of_the_caller(spark):
+    sites = ["a.b.c.ck", "www.ck", "x.www.ck", "ck", "p.q.kobe.jp", "city.kobe.jp", "u.city.kobe.jp", "a.com", "1.2.3.4"]
+    listed = ("*.ck", "!www.ck", "*.kobe.jp", "!city.kobe.jp")
+    from pyspark.sql import functions as F
+
+    domain, suffix = urls.registered_domain(F.col("s"), listed)
+    got = {r["s"]: (r["d"], r["x"]) for r in spark.createDataFrame([(s,) for s in sites], "s string").select("s", domain.alias("d"), suffix.alias("x")).collect()}
+    assert got == {
+        "a.b.c.ck": ("b.c.ck", "c.ck"), "www.ck": ("www.ck", "ck"), "x.www.ck": ("www.ck", "ck"), "ck": ("ck", "ck"), "p.q.kobe.jp": ("p.q.kobe.jp", "q.kobe.jp"),
+        "city.kobe.jp": ("city.kobe.jp", "kobe.jp"), "u.city.kobe.jp": ("city.kobe.jp", "kobe.jp"), "a.com": ("a.com", "com"), "1.2.3.4": ("1.2.3.4", "ip"),
+    }
 
 
 def test_reputation_shrinks_to_the_domain(spark):

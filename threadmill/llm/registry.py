@@ -21,6 +21,7 @@ _ORACLES: dict[str, str] = {
     "op2_block_max_wand_search": search.SQL,
     "op5_wu_manber_decontamination": decontaminate.SQL,
     "op8_typed_chat_format": chat.SQL,
+    "op9_url_reputation": urls.SQL,
     "op10_prefix_tree_jaccard": jaccard.SQL,
 }
 
