@@ -565,10 +565,47 @@ def test_jaccard_equals_brute_force(spark, n, percent, seed):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, n, percent)
 
 
-def test_groups_in_blocks_give_the_same(spark):
-    rows = near_copies(7)
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, max_group=100)
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 3, 90)
+def one_large_group(seed):
+    """Copies of one text that differ more and more, a chain of texts, and a phrase in every text."""
+    random = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for _ in range(150):
+        copy = list(base)
+        for at in random.integers(0, 60, int(random.integers(0, 4))):
+            copy[at] = f"x{int(random.integers(0, 9))}"
+        rows.append((len(rows), " ".join(copy)))
+    for i in range(40):
+        rows.append((len(rows), " ".join(f"c{j}" for j in range(i, i + 50))))
+    rows += [(len(rows) + i, " ".join(["all", "rights", "reserved", "by", "law", f"y{i}", f"z{i % 7}"])) for i in range(60)] + [(1000, rows[3][1]), (None, rows[5][1])]
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent", "slots", "hot", "compared"), [(3, 90, (8, 100, 2000), 5000, 2000), (3, 90, (64, 30, 500), 20, 2000), (1, 80, (3, 200, 100_000), 5, 3), (5, 80, (64, 1, 1), 1, 0), (2, 70, (64, 30_000, 4_000_000), 2, 1)])
+def test_groups_in_slots_give_the_same(spark, monkeypatch, n, percent, slots, hot, compared):
+    import functools
+
+    monkeypatch.setattr(jaccard, "tie_candidates", functools.partial(jaccard.tie_candidates, most=compared))
+    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 2)
+    rows = one_large_group(n) + [(2000 + (i or 0), t) for i, t in near_copies(7)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n, percent, deal=jaccard.Slots(*slots), hot_texts=hot)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_components(rows, n, percent)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=12).map(sorted), min_size=2, max_size=10, unique_by=tuple), st.sampled_from([50, 80, 90]), st.data())
+def test_look_up_finds_what_connects_labels(sets, percent, data):
+    k = data.draw(st.integers(1, len(sets) - 1))
+    labels = [int(x) for x in data.draw(st.lists(st.integers(0, 4), min_size=len(sets), max_size=len(sets)))]
+    found = jaccard.look_up(*[[np.array(s, np.uint64) for s in part] for part in (sets[:k], sets[k:])], labels, percent)
+    one, two = jaccard.Union(5), jaccard.Union(5)
+    for a, b in found:
+        one.join(a, b)
+    for i in range(k):
+        for j in range(k, len(sets)):
+            if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j])):
+                two.join(labels[i], labels[j])
+    assert [one.find(x) for x in range(5)] == [two.find(x) for x in range(5)]
 
 
 def test_frequent_ngrams_in_the_order_change_nothing(spark, monkeypatch):

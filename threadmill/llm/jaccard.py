@@ -6,16 +6,22 @@
 2. Two sets can link only if their prefixes (the first n - ceil(t n) + 1 n-grams) share one. Classes
    meet by prefix n-gram; a length bound and a parity sketch, which bounds the symmetric difference
    from below, leave out pairs that cannot link. What remains ties classes into candidate groups.
+   An n-gram of very many classes ties them all at once, without a look at their sketches.
 3. Each group's whole sets are joined in a prefix tree: a set is traced down the tree, sharing the
    overlap so far with all sets below a node, and a subtree is left as soon as its remaining lengths
    cannot give the similarity. At a set's end the overlap is exact, and so is the link.
+4. A large group is dealt into slots, each with a copy of the group's pivots (its most frequent set and two others), and each slot is joined on
+   its own. Copies of one text then mostly hang together through the pivots. What doesn't belong to the
+   group's largest component by then is looked up in the trees of all its slots. So every pair is either
+   compared in a slot, or connected already, or one of it is looked up in the other's slot.
 
-No step depends on luck: the order only decides how much work there is.
+No step depends on luck: order, ties and pivots only decide how much work there is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,12 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.0005, 6
 MAX_FREQUENT = 1_000_000
 #: Counting takes up so many n-grams of a part at a time.
 COUNTED_AT_ONCE = 3_000_000
-#: A candidate group of more n-grams than this is joined in blocks, each pair of blocks on its own.
-MAX_GROUP_NGRAMS = 4_000_000
+#: An n-gram of so many texts ties all their classes, which are then candidates of each other.
+HOT_TEXTS = 5_000
+#: A row is compared with so many others of an n-gram; if none may link by then, it is tied all the same. A tie makes a candidate, so no link is lost.
+MAX_COMPARED = 2_000
+#: A candidate group is dealt into at most this many slots of the smaller number of n-grams, or into as many as keep each at the larger number.
+SLOTS, SLOT_LEAST, SLOT_MOST = 64, 30_000, 4_000_000
 #: The places of the sets in their groups are broadcast up to so many rows (about 50 bytes each), else joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 _SPACE = separator_mask(SPACE_SEPARATORS)
@@ -141,12 +151,12 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.view(np.int64))), int(np.int64((b + np.uint64(len(grams))).view(np.int64)))
 
 
-def _profiles(read: DataFrame, n: int, percent: int, keep: list[str]) -> DataFrame:
+def _profiles(read: DataFrame, n: int, percent: int, keep: list[str], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per row of ``read`` (row, doc_id, text, ``keep``): row, doc_id, ``keep``, n, sig_a, sig_b, prefix, sketch.
 
     A task gives prefix and sketch of a set once, for the first of its rows that has it.
     """
-    sent = read.sparkSession.sparkContext.broadcast(_frequent(read, n))
+    sent = read.sparkSession.sparkContext.broadcast(frequent)
     least = -(-percent // (100 - percent)) if percent < 100 else None  # smaller sets link with equal ones alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,21 +234,29 @@ class Union:
             self.parent[max(a, b)] = min(a, b)
 
 
-def tie_candidates(group: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int]]:
-    """Edges that tie the rows (row, n, sketch) of a prefix n-gram which may link, at most one a row.
+def tie_candidates(group: list[tuple[int, int, bytes]], percent: int, most: int = MAX_COMPARED) -> list[tuple[int, int]]:
+    """Edges that tie the rows (row, n, sketch) of a prefix n-gram which may link, at most one a row and set of tied rows.
 
     A row is compared with the rows of each set of tied rows until one may link: those are tied anyway.
+    After ``most`` comparisons it is tied to the next set without one.
     """
     rows = sorted(set(group), key=lambda r: (r[1], r[0]))
     tied: list[list[tuple[int, int, int]]] = []
     edges: list[tuple[int, int]] = []
     for row, n, sketch in rows:
         own = (row, n, int.from_bytes(sketch, "little"))
-        hit, rest = None, []
+        hit, rest, left = None, [], most
         for members in tied:
             if 100 * members[-1][1] < percent * n:
                 continue  # all of them are too short for this and every later row
-            other = next((m for m in reversed(members) if 100 * m[1] >= percent * n and may_link(m[1], m[2], n, own[2], percent)), None)
+            other = None
+            for m in reversed(members):
+                if 100 * m[1] < percent * n:
+                    break  # in the order of their lengths: the rest is shorter still
+                left -= 1
+                if left < 0 or may_link(m[1], m[2], n, own[2], percent):
+                    other = m
+                    break
             if other is None:
                 rest.append(members)
                 continue
@@ -282,12 +300,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(rows)], names=["gram", "row"])
 
 
-def _candidates(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _candidates(profiles: DataFrame, classes: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
     """Edges (a, b) between classes that may link.
 
-    Most prefix n-grams have one set alone: they are left out before the sketches come in.
+    Most prefix n-grams have one set alone: they are left out before the sketches come in. The n-grams of
+    ``hot`` go another way: their classes are tied to the least one of each, by an aggregate.
     """
     keyed = profiles.select(F.explode("prefix").alias("gram"), "row")
+    ties = None
+    if len(hot):
+        spark = profiles.sparkSession
+        listed = F.broadcast(spark.createDataFrame(pa.table({"gram": pa.array(hot.view(np.int64))})))
+        frequent = cut(keyed.join(listed, "gram", "left_semi").join(classes.select("row"), "row", "left_semi"))
+        anchors = frequent.groupBy("gram").agg(F.min("row").alias("anchor"))
+        ties = frequent.join(F.broadcast(anchors), "gram").where("row <> anchor").select(F.col("anchor").alias("a"), F.col("row").alias("b"))
+        keyed = keyed.join(listed, "gram", "left_anti")
     shared = keyed.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, row long")
     sketched = shared.join(classes.select("row", "n", "sketch"), "row")
 
@@ -300,7 +327,8 @@ def _candidates(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFr
                 found = []
         yield _edge_batch(found)
 
-    return sketched.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _EDGE).distinct()
+    edges = sketched.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _EDGE)
+    return (edges if ties is None else edges.unionByName(ties)).distinct()
 
 
 class _Node:
@@ -373,21 +401,43 @@ class PrefixTree:
             node, at = child, at + same
 
 
+def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets as sorted ranks of their elements, and how many elements there are. Shared elements come first: paths are shared longest."""
+    elements, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(elements), np.int64)
+    rank[np.lexsort((elements, -counts))] = np.arange(len(elements))
+    return [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])], len(elements)
+
+
 def join_sets(sets: list[np.ndarray], percent: int) -> Union:
     """The links among some sets of distinct elements, as disjoint sets of their numbers."""
     union = Union(len(sets))
-    elements, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(elements), np.int64)
-    rank[np.lexsort((elements, -counts))] = np.arange(len(elements))  # shared elements first: paths are shared longest
-    ranks = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
-    tree = PrefixTree(union, percent, len(elements))
+    ranks, universe = _ranked(sets)
+    tree = PrefixTree(union, percent, universe)
     for who in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-        x = np.sort(ranks[who])
-        tree.link(x, who)
-        tree.add(x, who)
+        tree.link(ranks[who], who)
+        tree.add(ranks[who], who)
     return union
 
 
+def look_up(sets: list[np.ndarray], queries: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels that links between ``queries`` and ``sets`` connect; ``labels`` are those of the sets, then of the queries.
+
+    Sets of one label are connected already and are not compared with each other.
+    """
+    union = Union(len(sets) + len(queries))
+    first: dict[int, int] = {}
+    for i, label in enumerate(labels):
+        union.join(first.setdefault(label, i), i)
+    ranks, universe = _ranked([*sets, *queries])
+    tree = PrefixTree(union, percent, universe)
+    for who in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
+        tree.add(ranks[who], who)
+    for who in range(len(sets), len(ranks)):
+        tree.link(ranks[who], who)
+    return [(labels[i], labels[union.find(i)]) for i in first.values() if labels[union.find(i)] != labels[i]]
+
+
 def _needed_sets(read: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(sig_a, sig_b, grams) of the texts whose signature is in ``needed``, and perhaps of some more.
 
@@ -409,46 +459,126 @@ def _needed_sets(read: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return read.select("text").mapInArrow(run, "sig_a long, sig_b long, grams binary")
 
 
-def _links(read: DataFrame, profiles: DataFrame, classes: DataFrame, percent: int, n: int, max_group: int) -> DataFrame:
+@dataclass(frozen=True)
+class Slots:
+    """How candidate groups are dealt: into at most ``most`` slots of ``least_grams``, or as many as keep each at ``most_grams``."""
+
+    most: int = SLOTS
+    least_grams: int = SLOT_LEAST
+    most_grams: int = SLOT_MOST
+
+
+def _held(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Key and rows of each run of equal keys in sorted batches; rows of the same node, which come together, once."""
+    now, held, last = None, [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != now:
+                if held:
+                    yield now, held
+                now, held, last = key, [], None
+            this = (row["node"], row.get("own"))
+            if this != last:
+                held.append(row)
+                last = this
+    if held:
+        yield now, held
+
+
+_FIRST = "component long, slots int, slot int, node long, root long, grams binary"
+
+
+def _links(read: DataFrame, profiles: DataFrame, classes: DataFrame, percent: int, n: int, hot: np.ndarray, deal: Slots) -> DataFrame:
     """(node, component): every class that links with another one."""
-    groups = connected_components(_candidates(profiles, classes, percent))
-    members = cut(groups.join(classes.select(F.col("row").alias("node"), "n", "sig_a", "sig_b"), "node"))
-    sizes = members.groupBy("component").agg(F.ceil(F.sum("n") / max_group).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tasks = placed.select("node", "component", "sig_a", "sig_b", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))
-    )).alias("at")).select("node", "component", "sig_a", "sig_b", "at.lo", "at.hi")
-    tasks = F.broadcast(tasks) if members.count() <= MAX_BROADCAST_ROWS else tasks
-    joined = tasks.join(_needed_sets(read, members, n), ["sig_a", "sig_b"]).select("component", "lo", "hi", "node", "grams")
+    groups = connected_components(_candidates(profiles, classes, percent, hot))
+    members = cut(groups.join(classes.select(F.col("row").alias("node"), "n", "sig_a", "sig_b", "n_texts"), "node"))
+    by_hash = F.xxhash64("node")
+    pivots = F.array_distinct(F.array(F.max_by("node", F.struct("n_texts", -F.col("node"))), F.max_by("node", by_hash), F.min_by("node", by_hash)))
+    n_slots = F.greatest(F.ceil(F.sum("n") / deal.most_grams), F.least(F.lit(deal.most), F.ceil(F.sum("n") / deal.least_grams))).cast("int")
+    large = cut(members.groupBy("component").agg(n_slots.alias("slots"), pivots.alias("pivots")).where("slots > 1"))
+    n_large, copies = large.agg(F.count("*"), F.coalesce(F.sum(F.col("slots") * F.size("pivots")), F.lit(0))).first()
+    small = lambda df: F.broadcast(df) if n_large <= MAX_BROADCAST_ROWS else df
+    placed = members.join(small(large), "component", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    columns = ["component", "slots", "slot", "node", "own", "sig_a", "sig_b"]
+    own = placed.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slots")).cast("int")).withColumn("own", F.lit(True))
+    copied = placed.where("array_contains(pivots, node)").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).withColumn("own", F.lit(False))
+    tasks = own.select(*columns).unionByName(copied.select(*columns))
+    tasks = F.broadcast(tasks) if members.count() + copies <= MAX_BROADCAST_ROWS else tasks
+    fetched = tasks.join(_needed_sets(read, members, n), ["sig_a", "sig_b"]).select("component", "slots", "slot", "node", "own", "grams")
+
+    def join_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (component, slots, slot), rows in _held(batches, ["component", "slots", "slot"]):
+            sets = {r["node"]: r["grams"] for r in rows}
+            nodes = sorted(sets)
+            union = join_sets([np.frombuffer(sets[i], np.uint64) for i in nodes], percent)
+            kept = {r["node"] for r in rows if r["own"]} if slots > 1 else set()  # a large group's sets are asked for again
+            found = [(i, nodes[union.find(k)], sets[i] if i in kept else None) for k, i in enumerate(nodes) if slots > 1 or union.find(k) != k]
+            for lo in range(0, len(found), 2000):
+                part = found[lo : lo + 2000]
+                fixed = [pa.array([x] * len(part), t) for x, t in ((component, pa.int64()), (slots, pa.int32()), (slot, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([f[c] for f in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["component", "slots", "slot", "node", "root", "grams"])
+
+    order = ["component", "slots", "slot", "node", "own"]
+    first = cut(fetched.repartition("component", "slot").sortWithinPartitions(*order).mapInArrow(join_slots, _FIRST))
+    alone = first.where("slots = 1").select("node", F.col("root").alias("component"))
+    alone = alone.unionByName(alone.select(F.col("component").alias("node"), "component").distinct())
+    return alone if not n_large else alone.unionByName(_between_slots(first.where("slots > 1"), percent, deal, small))
+
+
+_LOOKED_UP = ["component", "slot", "block", "is_query", "node", "label", "grams"]
+
+
+def _between_slots(first: DataFrame, percent: int, deal: Slots, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of all classes of large groups, whose slots were joined on their own."""
+    labels = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "label")
+    own = first.where("grams IS NOT NULL").drop("root").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = own.groupBy("component", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    labelled = cut(own.join(small(most), "component"))
+    others = labelled.where("label <> main")
+    blocks = others.groupBy("component").agg(F.ceil(F.sum(F.octet_length("grams") / 8) / deal.most_grams).cast("int").alias("blocks"))
+    asked = (
+        others.join(small(blocks), "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+        .withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).where("_to <> slot").withColumn("slot", F.col("_to")).withColumn("is_query", F.lit(True))
+    )
+    there = labelled.join(small(blocks), "component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches, ["component", "lo", "hi"], ["node", "grams"]):
-            rows = dict(group)  # several tasks may have passed on the same set
-            nodes = sorted(rows)
-            union = join_sets([np.frombuffer(rows[i], np.uint64) for i in nodes], percent)
-            yield _edge_batch([(nodes[k], nodes[union.find(k)]) for k in range(len(nodes)) if union.find(k) != k])
+        for _, rows in _held(batches, ["component", "slot", "block"]):
+            sets, queries = ([r for r in rows if r["is_query"] is x] for x in (False, True))
+            if sets and queries:
+                grams = [[np.frombuffer(r["grams"], np.uint64) for r in part] for part in (sets, queries)]
+                yield _edge_batch(look_up(*grams, [r["label"] for r in (*sets, *queries)], percent))
 
-    links = joined.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(run, _EDGE)
-    return connected_components(links)
+    tasks = there.select(*_LOOKED_UP).unionByName(asked.select(*_LOOKED_UP)).repartition("component", "slot", "block")
+    found = connected_components(tasks.sortWithinPartitions("component", "slot", "block", "is_query", "node").mapInArrow(run, _EDGE))
+    named = labelled.select("node", "label").join(found.select(F.col("node").alias("label"), F.col("component").alias("_whole")), "label", "left")
+    return named.select("node", F.coalesce("_whole", "label").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False, max_group: int = MAX_GROUP_NGRAMS) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False, deal: Slots = Slots(), hot_texts: int = HOT_TEXTS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, and with ``text_key`` a hash of the text.
 
     Texts link if the Jaccard similarity of their n-gram sets is at least ``percent`` hundredths, and
     equal sets always do. ``component_id`` is the least id reachable by links. A text of fewer words
     than ``n`` is one n-gram; a null or empty one has none, links with nothing and is its own
     component. Repeated rows are members of one class. A null id is carried along but names no
-    component while there is another one. Other columns are ignored.
+    component while there is another one. A very long text is one set, held by one task at a time.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
+
+    ``deal`` says how large candidate groups are split, ``hot_texts`` from how many texts on an n-gram's
+    classes are tied without a look at them. Neither changes the result.
     """
     keep = ["text_key"] if text_key else []
     text = clean_text(F.col(text_col))
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias(c) for c in keep])
-    profiles = cut(_profiles(read.withColumn("row", F.monotonically_increasing_id()), n, percent, keep))
+    frequent, counts = _frequent(read, n)
+    profiles = cut(_profiles(read.withColumn("row", F.monotonically_increasing_id()), n, percent, keep, (frequent, counts)))
     some = profiles.where("n > 0")
-    classes = some.groupBy("sig_a", "sig_b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
-    firsts = cut(some.drop("doc_id", "prefix", *keep).join(classes.select("rep", "least_id"), F.col("row") == F.col("rep")).drop("rep"))
-    linked = _links(read, profiles, firsts, percent, n, max_group)
+    classes = some.groupBy("sig_a", "sig_b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_texts"))
+    firsts = cut(some.drop("doc_id", "prefix", *keep).join(classes.select("rep", "least_id", "n_texts"), F.col("row") == F.col("rep")).drop("rep"))
+    linked = _links(read, profiles, firsts, percent, n, frequent[counts >= hot_texts], deal)
     ids = firsts.select(F.col("row").alias("node"), "sig_a", "sig_b", "least_id")
     linked = cut(ids.join(linked, "node"))
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -462,7 +592,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
