@@ -29,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint. Its files go when the frame is collected as garbage, if the session says so."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
