@@ -42,7 +42,7 @@ HOT_TEXTS = 5_000
 #: A row is compared with so many others of an n-gram; if none may link by then, it is tied all the same. A tie makes a candidate, so no link is lost.
 MAX_COMPARED = 2_000
 #: A candidate group is dealt into at most this many slots of the smaller number of n-grams, or into as many as keep each at the larger number.
-SLOTS, SLOT_LEAST, SLOT_MOST = 64, 30_000, 4_000_000
+SLOTS, SLOT_LEAST, SLOT_MOST = 64, 15_000, 4_000_000
 #: The places of the sets in their groups are broadcast up to so many rows (about 50 bytes each), else joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 _SPACE = separator_mask(SPACE_SEPARATORS)
