@@ -108,6 +108,27 @@ def test_search_for_words_of_all_documents(spark, shard):
     assert {(r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()} == brute_bm25(rows, 20, 5)
 
 
+def long_near_copies():
+    """Two families of long near copies, whose scores are very close to each other."""
+    random = np.random.default_rng(8)
+    rows = []
+    for f in range(2):
+        base = [f"{'ab'[f]}{i}" for i in range(18_000)] if f else [f"a{i}" for i in range(9_000)] + [f"b{i}" for i in range(9_000)]
+        for _ in range(14):
+            copy = list(base)
+            for at in random.integers(0, len(copy), 3):
+                copy[at] = f"x{int(random.integers(0, 50))}"
+            rows.append((len(rows) + 1, " ".join(copy)))
+    return [(20, " ".join([f"a{i}" for i in range(9_000)] + [f"b{i}" for i in range(18_000)])), *[r for r in rows if r[0] != 20], *[(100 + i, f"a1 b2 word{i}") for i in range(30)]]
+
+
+@pytest.mark.parametrize(("shard", "words_"), [(4096, 1 << 30), (7, 60_000)])
+def test_search_of_long_texts_is_exact(spark, shard, words_):
+    rows = long_near_copies()
+    found = search.top_k(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), k=10, every=20, shard_documents=shard, shard_words=words_)
+    assert {(r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()} == brute_bm25(rows, 20, 10)
+
+
 def test_search_of_nothing(empty):
     assert search.top_k(empty).count() == 0
 
@@ -666,6 +687,21 @@ def test_every_operator_is_registered():
     assert set(registry.oracle_sql()) <= set(names)
 
 
+def test_stages_of_nulls_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, predicted string, n_hit int"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "some words", None, None, None, "x", 1), (None, None, None, None, None, "x", 1), (1, "", "en", "s", 0, "x", 1), (1, "", "en", "s", 0, "x", 1), (2, "word " * 30_000, "en", "s", 5, "x", 1)]
+    for given_, n in ((spark.createDataFrame(rows, kind), 4), (spark.createDataFrame([], kind), 0)):
+        docs = given_
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == corpus_pipeline.COLUMNS
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == n
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     import corpus_pipeline
 

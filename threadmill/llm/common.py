@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..stages import cut, shared_folder  # noqa: F401
+from ..stages import cut, remove, shared_folder  # noqa: F401
 
 #: Bytes that part words: everything of ASCII but digits and letters.
 ALNUM_SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
