@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadmill.llm import bpe, decontaminate, jaccard, quality
-from threadmill.llm.common import clean_text, cut, key_filter, passes, shared_folder, table
+from threadmill.llm.common import clean_text, key_filter, passes, table
+from threadmill.stages import cut, remove, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: word n-grams of this length, and the least Jaccard similarity in hundredths.
@@ -76,10 +77,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last one stays, as the result reads it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '_')}"
+        at = f"{folder}/{name.replace(' ', '_')}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
