@@ -42,7 +42,7 @@ HOT_TEXTS = 5_000
 #: A row is compared with so many others of an n-gram; if none may link by then, it is tied all the same. A tie makes a candidate, so no link is lost.
 MAX_COMPARED = 2_000
 #: A candidate group is dealt into at most this many slots of the smaller number of n-grams, or into as many as keep each at the larger number.
-SLOTS, SLOT_LEAST, SLOT_MOST = 64, 15_000, 4_000_000
+SLOTS, SLOT_LEAST, SLOT_MOST = 64, 20_000, 4_000_000
 #: The places of the sets in their groups are broadcast up to so many rows (about 50 bytes each), else joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 _SPACE = separator_mask(SPACE_SEPARATORS)
@@ -486,7 +486,7 @@ def _held(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
         yield now, held
 
 
-_FIRST = "component long, slots int, slot int, node long, root long, grams binary"
+_FIRST = "component long, slots int, slot int, node long, root long, own boolean"
 
 
 def _links(read: DataFrame, profiles: DataFrame, classes: DataFrame, percent: int, n: int, hot: np.ndarray, deal: Slots) -> DataFrame:
@@ -512,32 +512,38 @@ def _links(read: DataFrame, profiles: DataFrame, classes: DataFrame, percent: in
             sets = {r["node"]: r["grams"] for r in rows}
             nodes = sorted(sets)
             union = join_sets([np.frombuffer(sets[i], np.uint64) for i in nodes], percent)
-            kept = {r["node"] for r in rows if r["own"]} if slots > 1 else set()  # a large group's sets are asked for again
-            found = [(i, nodes[union.find(k)], sets[i] if i in kept else None) for k, i in enumerate(nodes) if slots > 1 or union.find(k) != k]
+            own = {r["node"] for r in rows if r["own"]}
+            found = [(i, nodes[union.find(k)], i in own) for k, i in enumerate(nodes) if slots > 1 or union.find(k) != k]
             for lo in range(0, len(found), 2000):
                 part = found[lo : lo + 2000]
                 fixed = [pa.array([x] * len(part), t) for x, t in ((component, pa.int64()), (slots, pa.int32()), (slot, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([f[c] for f in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["component", "slots", "slot", "node", "root", "grams"])
+                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([f[c] for f in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=["component", "slots", "slot", "node", "root", "own"])
 
     order = ["component", "slots", "slot", "node", "own"]
     first = cut(fetched.repartition("component", "slot").sortWithinPartitions(*order).mapInArrow(join_slots, _FIRST))
     alone = first.where("slots = 1").select("node", F.col("root").alias("component"))
     alone = alone.unionByName(alone.select(F.col("component").alias("node"), "component").distinct())
-    return alone if not n_large else alone.unionByName(_between_slots(first.where("slots > 1"), percent, deal, small))
+    if not n_large:
+        return alone
+    fetch = lambda some: _needed_sets(read, some, n)
+    return alone.unionByName(_between_slots(first.where("slots > 1"), members, fetch, percent, deal, small))
 
 
-_LOOKED_UP = ["component", "slot", "block", "is_query", "node", "label", "grams"]
+def _between_slots(first: DataFrame, members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, deal: Slots, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of all classes of large groups, whose slots were joined on their own.
 
-
-def _between_slots(first: DataFrame, percent: int, deal: Slots, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of all classes of large groups, whose slots were joined on their own."""
+    Sets are worked out once more, for the groups that are not one component yet: that is cheaper than to
+    write them all the first time.
+    """
     labels = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "label")
-    own = first.where("grams IS NOT NULL").drop("root").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = first.where("own").drop("root", "own").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = own.groupBy("component", "label").agg(F.count("*").alias("n"))
     most = counts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    labelled = cut(own.join(small(most), "component"))
+    labelled = cut(own.join(small(most), "component").join(members.select("node", "n", "sig_a", "sig_b"), "node"))
     others = labelled.where("label <> main")
-    blocks = others.groupBy("component").agg(F.ceil(F.sum(F.octet_length("grams") / 8) / deal.most_grams).cast("int").alias("blocks"))
+    blocks = cut(others.groupBy("component").agg(F.ceil(F.sum("n") / deal.most_grams).cast("int").alias("blocks")))
+    if blocks.isEmpty():
+        return labelled.select("node", F.col("label").alias("component"))
     asked = (
         others.join(small(blocks), "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
         .withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).where("_to <> slot").withColumn("slot", F.col("_to")).withColumn("is_query", F.lit(True))
@@ -551,8 +557,12 @@ def _between_slots(first: DataFrame, percent: int, deal: Slots, small: Callable[
                 grams = [[np.frombuffer(r["grams"], np.uint64) for r in part] for part in (sets, queries)]
                 yield _edge_batch(look_up(*grams, [r["label"] for r in (*sets, *queries)], percent))
 
-    tasks = there.select(*_LOOKED_UP).unionByName(asked.select(*_LOOKED_UP)).repartition("component", "slot", "block")
-    found = connected_components(tasks.sortWithinPartitions("component", "slot", "block", "is_query", "node").mapInArrow(run, _EDGE))
+    order = ["component", "slot", "block", "is_query", "node"]
+    columns = [*order, "label", "sig_a", "sig_b"]
+    tasks = cut(there.select(*columns).unionByName(asked.select(*columns)))
+    sent = F.broadcast(tasks) if tasks.count() <= MAX_BROADCAST_ROWS else tasks
+    fetched = sent.join(fetch(tasks), ["sig_a", "sig_b"]).drop("sig_a", "sig_b")
+    found = connected_components(fetched.repartition("component", "slot", "block").sortWithinPartitions(*order).mapInArrow(run, _EDGE))
     named = labelled.select("node", "label").join(found.select(F.col("node").alias("label"), F.col("component").alias("_whole")), "label", "left")
     return named.select("node", F.coalesce("_whole", "label").alias("component"))
 
