@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..stages import remove, written
 
 MAX_ROUNDS = 60
 
@@ -23,20 +23,22 @@ def _star(near: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of ``edges`` (columns a, b) and the least node it is connected to.
 
-    Two shuffles of the edges a round and a checkpoint after it; the rounds grow with the logarithm of
-    the nodes. No group is collected: stars are an aggregate and an equi-join, which AQE can split.
-    Edges with a null end or from a node to itself are left out.
+    Two shuffles of the edges a round, whose result is written; the round before it goes. The rounds grow
+    with the logarithm of the nodes. No group is collected: stars are an aggregate and an equi-join, which
+    AQE can split. Edges with a null end or from a node to itself are left out.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now, at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _fingerprint(now)
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
-        now = cut(
+        later, there = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
+        remove(edges.sparkSession, at)
+        now, at = later, there
         before, mark = mark, _fingerprint(now)
         if mark == before:
             roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
