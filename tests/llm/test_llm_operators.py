@@ -209,6 +209,55 @@ def test_classifier_without_labels_or_rows(spark, docs, empty):
     assert quality.classify(empty, none).count() == 0
 
 
+def plain_passages(text):
+    """A text's passages as bytes: 64 words each, the first one with what stands before, each up to the next one's first word."""
+    raw = (text or "").encode()
+    starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    cuts = [0, *starts[64::64], len(raw)]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def plain_features(passage):
+    kinds = [sum(b in signs for b in passage) for signs in quality._KINDS.values()]
+    high = sum(b >= 128 for b in passage)
+    shares = [x / max(1, len(passage)) for x in (*kinds, len(passage) - sum(kinds) - high, high)]
+    w = re.findall(rb"[^\x20\x09-\x0D]+", passage)
+    n, lengths = max(1, len(w)), [len(x) for x in w]
+    mean = sum(lengths) / n
+    odd = lambda b: b < 128 and not any(b in signs for signs in quality._KINDS.values())
+    extra = [
+        mean / 10, math.sqrt(max(0, sum(x * x for x in lengths) / n - mean * mean)) / 10, len(set(w)) / n, sum(x[0] in quality._KINDS["upper"] for x in w) / n, sum(odd(x[-1]) for x in w) / n,
+        sum(x <= 3 for x in lengths) / n, sum(x >= 12 for x in lengths) / n, sum(a == b for a, b in zip(w, w[1:])) / n, math.log1p(len(w)) / 5,
+    ]
+    return shares + extra
+
+
+def plain_score(model, passages):
+    """Gated attention over the passages of one text, one number at a time."""
+    w = {k: v.tolist() for k, v in model.w.items()}
+    dot = lambda x, m: [sum(a * row[j] for a, row in zip(x, m)) for j in range(len(m[0]))]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    encoded, energy = [], []
+    for passage in passages:
+        x = [(f - m) / s for f, m, s in zip(plain_features(passage), model.mean.tolist(), model.scale.tolist())]
+        h = [math.tanh(v + b) for v, b in zip(dot(x, w["W"]), w["b"])]
+        encoded.append(h)
+        energy.append(sum(math.tanh(a) * sigmoid(b) * c for a, b, c in zip(dot(h, w["V"]), dot(h, w["U"]), w["a"])))
+    weights = [math.exp(e - max(energy)) for e in energy]
+    pooled = [sum(a * h[j] for a, h in zip(weights, encoded)) / sum(weights) for j in range(len(encoded[0]))]
+    return sigmoid(min(30, max(-30, sum(z * c for z, c in zip(pooled, w["c"])) + w["d"][0])))
+
+
+def test_scores_equal_a_plain_recomputation(spark):
+    rows, labels = corpus(120)
+    rows += [(500 + i, t) for i, t in enumerate(TEXTS)] + [(600, "é日 " * 700), (601, " \n a b  a a b! \t")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit_on_labels(docs, marks)
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    for i, text in rows[::5] + rows[120:]:
+        assert got[i] == pytest.approx(plain_score(model, plain_passages(text)), abs=1e-4), (text or "")[:80]
+
+
 def test_gradients_lower_the_loss():
     random = np.random.default_rng(2)
     passages = random.integers(1, 6, 60)

@@ -106,7 +106,9 @@ def format_conversations(turns: DataFrame, visitor: PartVisitor | None = None) -
 
     ``turns`` has conv_id, turn, role and parts (an array of PART). The loss mask is the body of each
     assistant turn, as code points of the segment; null elsewhere. A null role or text is empty, a
-    turn without parts has an empty body, repeated rows are turns of their own. No shuffle.
+    turn without parts has an empty body, repeated rows are turns of their own, and a very long text is
+    one segment in whole. A part of an unknown kind is a ValueError that names it and ends the job; a
+    null part is passed over. Other columns are ignored; an empty table gives no rows. No shuffle.
     """
     visitor = visitor or PartVisitor()
     read = turns.select("conv_id", "turn", "role", "parts")
