@@ -9,7 +9,6 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from threadmill.config import CleanConfig
 from threadmill.plans.cleaning import clean_pairs, labelling_sample
