@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -51,3 +52,15 @@ def test_a_large_customer_is_no_table_of_pairs(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert sorted((r["cust"], r["supp"], r["n_shared"]) for r in rows) == [(1, i, 1) for i in range(n)]
     assert moved < 300 * n  # a row for each of its n * n pairs would be megabytes
+
+
+@pytest.mark.parametrize("name, moved", [("resolve_phd", r"hashpartitioning\(\(?[a-z_]+#\d+L? % "), ("supervisor_evidence", r"hashpartitioning\(cand#\d+L?, doi#")])
+def test_no_row_for_each_vector_or_publication_is_moved(spark, name, moved):
+    """Vectors are not dealt out to the works that are compared, nor a contributor's hits to the publications of its thesis."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "hashpartitioning" in plan and not re.search(moved, plan)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import MatchConfig
 from ..schemas import DUPLICATES, RELATIONS
+from ..stages import written
 
 
 def _within(year: Column, base: Column, tolerance: int) -> Column:
@@ -58,6 +59,12 @@ def match_score(config: MatchConfig = MatchConfig()) -> Column:
     return F.col("n_close_matches") + config.exact_weight * flag("exact_match") + config.near_weight * flag("near_exact_match") + config.affiliation_weight * flag("affiliation_match")
 
 
+def _work_lists() -> list[Column]:
+    """Titles, ids and similarities of works as aggregates, from the most similar on."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("similarity"), F.lit(2.0)).alias("_k"), "work_id", "title", "similarity")))
+    return [F.transform(pairs, lambda x: x["title"]).alias("titles"), F.transform(pairs, lambda x: x["work_id"].cast("string")).alias("work_ids"), F.transform(pairs, lambda x: x["similarity"]).alias("title_similarities")]
+
+
 def candidate_evidence(candidates: DataFrame, works: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """One row per (integer_id, author_id) with what its works say.
 
@@ -66,10 +73,9 @@ def candidate_evidence(candidates: DataFrame, works: DataFrame, config: MatchCon
     similarity is 0; if none can be compared it is null.
     """
     t = tiers(F.col("similarity"), config)
-    pairs = F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("similarity"), F.lit(2.0)).alias("_k"), "work_id", "title", "similarity")))
     by_work = works.groupBy("integer_id", "author_id").agg(
         F.max("similarity").alias("best"), F.count_if(t["close_match"]).cast("int").alias("n_close_matches"),
-        F.transform(pairs, lambda x: x["title"]).alias("titles"), F.transform(pairs, lambda x: x["work_id"].cast("string")).alias("work_ids"), F.transform(pairs, lambda x: x["similarity"]).alias("title_similarities"), F.lit(True).alias("has_works"),
+        *_work_lists(), F.lit(True).alias("has_works"),
     )
     joined = candidates.join(by_work, ["integer_id", "author_id"], "left")
     best = F.when(F.col("has_works"), F.col("best")).otherwise(F.lit(0.0))
@@ -88,24 +94,41 @@ def best_candidate(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_at")
 
 
-def resolve_candidates(theses: DataFrame, search: DataFrame, name_pairs: DataFrame, authors: DataFrame, authorships: DataFrame, works: DataFrame, similarity: Callable[[DataFrame], DataFrame], config: MatchConfig = MatchConfig()) -> DataFrame:
+def resolve_candidates(theses: DataFrame, search: DataFrame, name_pairs: DataFrame, authors: DataFrame, authorships: DataFrame, works: DataFrame, similarity: Callable[[DataFrame], DataFrame], config: MatchConfig = MatchConfig(), lists: bool = True) -> DataFrame:
     """The best catalogue author of each thesis that has one whose name agrees.
 
     theses: integer_id, phd_name, title, year, institution. search: query_name, api_rank, author_id.
     name_pairs: left_name, right_name. ``similarity`` adds a column of that name to (thesis, work)
     rows. Names are joined first, works of the remaining candidates only, and years before similarity.
+    Without ``lists`` the lists of its works are left to ``with_work_lists``.
     """
     if config.max_candidates is not None:
         search = search.where(F.col("api_rank") <= config.max_candidates)
-    hits = theses.join(search, theses["phd_name"] == search["query_name"]).drop("query_name")
-    counts = hits.groupBy("integer_id").agg(F.count("*").alias("n_name_search_matches"))
-    named = hits.join(authors, "author_id").join(name_pairs, (F.col("phd_name") == F.col("left_name")) & (F.col("display_name") == F.col("right_name"))).drop("left_name", "right_name")
+    counts = search.groupBy("query_name").agg(F.count("*").alias("n_name_search_matches"))
+    # names are settled for each query, not for each of its theses
+    known = search.join(authors, "author_id").join(name_pairs, (F.col("query_name") == F.col("left_name")) & (F.col("display_name") == F.col("right_name"))).drop("left_name", "right_name").join(counts, "query_name")
+    named = theses.join(known, theses["phd_name"] == known["query_name"])
     fit = affiliation_match(F.col("affiliations"), F.col("institution"), F.col("year"), config.affiliation_tolerance)
-    candidates = named.withColumn("affiliation_match", fit)
-    wide = candidates.select("integer_id", "author_id", F.col("title").alias("thesis_title"), "year").join(authorships, "author_id").join(works, "work_id")
-    compared = similarity(works_in_window(wide, "publication_year", "year", config))
-    best = best_candidate(candidate_evidence(candidates.select("integer_id", "author_id", "display_name", "orcid", "api_rank", "affiliation_match"), compared, config))
-    return best.join(counts, "integer_id").withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking")))
+    carried = ["integer_id", "author_id", "display_name", "orcid", "api_rank", "n_name_search_matches"]
+    candidates, _ = written(named.select(*carried, F.col("title").alias("thesis_title"), "year", fit.alias("affiliation_match")))
+    compared = _compared(candidates, authorships, works, similarity, config)
+    found = best_candidate(candidate_evidence(candidates, compared, config).drop("titles", "work_ids", "title_similarities"))
+    found = found.withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking")))
+    return with_work_lists(written(found)[0], authorships, works, similarity, config) if lists else found
+
+
+def _compared(candidates: DataFrame, authorships: DataFrame, works: DataFrame, similarity: Callable[[DataFrame], DataFrame], config: MatchConfig) -> DataFrame:
+    """The works in the window of each (integer_id, author_id, thesis_title, year), with their similarity."""
+    wide = candidates.select("integer_id", "author_id", "thesis_title", "year").join(authorships.join(works, "work_id"), "author_id")
+    return similarity(works_in_window(wide, "publication_year", "year", config))
+
+
+def with_work_lists(best: DataFrame, authorships: DataFrame, works: DataFrame, similarity: Callable[[DataFrame], DataFrame], config: MatchConfig = MatchConfig()) -> DataFrame:
+    """The best candidates, one a thesis, with titles, ids and similarities of their works: lists of other candidates are never made."""
+    compared = _compared(best, authorships, works, similarity, config)
+    listed = compared.groupBy("integer_id", "author_id").agg(*_work_lists()).drop("author_id")
+    empty = {c: F.coalesce(c, F.array().cast(listed.schema[c].dataType)) for c in ("titles", "work_ids", "title_similarities")}
+    return best.join(listed, "integer_id", "left").withColumns(empty)
 
 
 def shared_publications(left: DataFrame, right: DataFrame, on: list[str], config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -133,18 +156,28 @@ def contributor_evidence(contributors: DataFrame, candidates: DataFrame, shared_
     contributor_rank; pilot has author_id; an orcid of candidates is optional. Contributors without evidence have the defaults.
     """
     keys = ["integer_id", "contributor_rank"]
+    hits = candidate_lists(candidates, pilot, keys)
+    affil = shared_affiliations.groupBy(*keys).agg(F.collect_set("institution").alias("_shared")).withColumn("n_shared_inst_grad", F.size("_shared"))
+    pubs = shared_pubs.groupBy(*keys).agg(F.sort_array(F.collect_set("doi")).alias("shared_pubs"), F.max(F.col("doi").isNull().cast("int")).alias("_null"))
+    pubs = pubs.withColumn("n_shared_pubs", F.size("shared_pubs") + F.col("_null")).drop("_null")
+    return evidence_rows(contributors.join(hits, keys, "left").join(affil, keys, "left").join(pubs, keys, "left").join(coauthors.select(*keys).distinct().withColumn("_co", F.lit(True)), keys, "left"), config)
+
+
+def candidate_lists(candidates: DataFrame, pilot: DataFrame, keys: list[str]) -> DataFrame:
+    """What the search hits of each contributor are, in one row: ``keys`` name the contributor, or the name that was asked for."""
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("author_id", c))), lambda x: x[c])
     known = candidates.join(pilot.select("author_id").distinct().withColumn("_pilot", F.lit(True)), "author_id", "left")
-    hits = known.groupBy(*keys).agg(
+    return known.groupBy(*keys).agg(
         ordered("display_name").alias("contributor_name"), F.sort_array(F.collect_list("author_id")).alias("contributor_id"),
         F.sort_array(F.collect_list(F.when(F.col("name_agrees"), F.col("display_name")))).alias("name_matches_catalogue"),
         F.bool_or(F.col("name_agrees") & F.coalesce("_pilot", F.lit(False))).alias("is_sup_in_pilot_dataset"),
         *([ordered("orcid").alias("contributor_orcid")] if "orcid" in candidates.columns else []),
     )
-    affil = shared_affiliations.groupBy(*keys).agg(F.collect_set("institution").alias("_shared")).withColumn("n_shared_inst_grad", F.size("_shared"))
-    pubs = shared_pubs.groupBy(*keys).agg(F.sort_array(F.collect_set("doi")).alias("shared_pubs"), F.max(F.col("doi").isNull().cast("int")).alias("_null"))
-    pubs = pubs.withColumn("n_shared_pubs", F.size("shared_pubs") + F.col("_null")).drop("_null")
-    joined = contributors.join(hits, keys, "left").join(affil, keys, "left").join(pubs, keys, "left").join(coauthors.select(*keys).distinct().withColumn("_co", F.lit(True)), keys, "left")
+
+
+def evidence_rows(joined: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """The evidence of contributors: rows with the columns of ``candidate_lists``, n_shared_inst_grad, n_shared_pubs, shared_pubs, _shared and _co; nulls are defaults."""
+    keys = ["integer_id", "contributor_rank"]
     strings = F.array().cast("array<string>")
     same = F.coalesce(F.array_contains("_shared", F.col("institution")), F.lit(False))
     n_aff, n_pub = (F.coalesce(c, F.lit(0)) for c in ("n_shared_inst_grad", "n_shared_pubs"))
