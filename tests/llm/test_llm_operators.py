@@ -129,6 +129,28 @@ def test_search_of_long_texts_is_exact(spark, shard, words_):
     assert {(r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()} == brute_bm25(rows, 20, 10)
 
 
+@pytest.mark.parametrize(("matrix", "rare"), [(1 << 20, 30_000), (0, 1), (4 * 300 * 3, 500)])
+def test_search_with_a_bounded_matrix_and_few_postings_at_once(monkeypatch, matrix, rare):
+    """A matrix for none, three or all of the frequent terms; rare terms of one query, or some, at a time."""
+    monkeypatch.setattr(search, "_MATRIX_BYTES", matrix)
+    monkeypatch.setattr(search, "_RARE_AT_ONCE", rare)
+    random = np.random.default_rng(5)
+    rows = [(i, " ".join(f"t{int(x)} d{i}" for x in random.zipf(1.3, 20))) for i in range(300)]
+    bags = [Counter(t.split()) for _, t in rows]
+    names = sorted(set().union(*bags))
+    words = [names.index(w) for bag in bags for w in bag.elements()]
+    parts = [(np.repeat(np.arange(300), [bag.total() for bag in bags]), np.array(words, np.uint64))]
+    row = search._shard_row(0, [i for i, _ in rows], parts)
+    df = Counter(w for bag in bags for w in bag)
+    weight = {w: math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) for w in names}
+    asked = [sorted(names.index(w) for w in bags[i]) for i in range(0, 300, 20)]
+    block = search.QueryBlock(np.arange(0, 300, 20), np.cumsum([len(x) for x in asked]), np.array(sum(asked, []), np.uint64), np.array([weight[names[x]] for own in asked for x in own]))
+    shard = search.Shard(row, len(words) / 300)
+    assert 4 * 300 * len(shard.fast) <= matrix
+    got = {(int(block.query[i]), s) for i, own in shard.search(block, np.zeros(15), 5) for s, _ in sorted(own, reverse=True)[:5]}
+    assert got == {(q, s) for q, _, _, s in brute_bm25(rows, 20, 5)}
+
+
 def test_search_of_nothing(empty):
     assert search.top_k(empty).count() == 0
 
