@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from threadmill.operators import people as P
 from threadmill.operators import relational as R
 from threadmill.operators import sampling as S
 from threadmill.operators import similarity
-from threadmill.plans import cleaning_queries, tables
+from threadmill.plans import cleaning_queries, matching_queries, tables
 from threadmill.functions.names import names_agree
 from threadmill.sources import files
 
@@ -141,3 +142,13 @@ def test_block_join_of_lines_equals_all_pairs(spark, tmp_path):
     known = ["J. Vos", "Alice Jones", "red ring", "blue ring"]
     got = {tuple(r) for r in cleaning_queries.name_block_join_documents(spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a in lines for b in known if names_agree(a, b)} and len(got) >= 3
+
+
+@pytest.mark.parametrize("lists", [False, True])
+def test_relations_leave_two_stages_only(spark, lists):
+    """Contributors and best candidates: candidates and known pairs go as soon as they have been used."""
+    there = lambda: {p.name for p in Path(stages.shared_folder(spark).removeprefix("file:")).iterdir() if p.name.startswith(("stage-", "shared-"))}
+    before = there()
+    matching_queries.relations(spark, "/root/testdata/sf0.001", lists=lists)
+    left = there() - before
+    assert len(left) == 2 and all(name.startswith("stage-") for name in left)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import MatchConfig
 from ..schemas import DUPLICATES, RELATIONS
-from ..stages import written
+from ..stages import remove, written
 
 
 def _within(year: Column, base: Column, tolerance: int) -> Column:
@@ -110,11 +110,12 @@ def resolve_candidates(theses: DataFrame, search: DataFrame, name_pairs: DataFra
     named = theses.join(known, theses["phd_name"] == known["query_name"])
     fit = affiliation_match(F.col("affiliations"), F.col("institution"), F.col("year"), config.affiliation_tolerance)
     carried = ["integer_id", "author_id", "display_name", "orcid", "api_rank", "n_name_search_matches"]
-    candidates, _ = written(named.select(*carried, F.col("title").alias("thesis_title"), "year", fit.alias("affiliation_match")))
+    candidates, candidates_at = written(named.select(*carried, F.col("title").alias("thesis_title"), "year", fit.alias("affiliation_match")))
     compared = _compared(candidates, authorships, works, similarity, config)
     found = best_candidate(candidate_evidence(candidates, compared, config).drop("titles", "work_ids", "title_similarities"))
-    found = found.withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking")))
-    return with_work_lists(written(found)[0], authorships, works, similarity, config) if lists else found
+    found, _ = written(found.withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking"))))
+    remove(theses.sparkSession, candidates_at)
+    return with_work_lists(found, authorships, works, similarity, config) if lists else found
 
 
 def _compared(candidates: DataFrame, authorships: DataFrame, works: DataFrame, similarity: Callable[[DataFrame], DataFrame], config: MatchConfig) -> DataFrame:
