@@ -9,6 +9,7 @@ import pytest
 
 from threadmill import catalog
 from threadmill.operators.shared import shared_by_group
+from threadmill.plans import matching_queries
 
 
 def shuffled(spark) -> int:
@@ -64,3 +65,19 @@ def test_no_row_for_each_vector_or_publication_is_moved(spark, name, moved):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "hashpartitioning" in plan and not re.search(moved, plan)
+
+
+def test_lists_of_works_are_not_moved(spark):
+    """Contributors go to where the candidate's works are; what then is left to do moves no thesis."""
+    plan = catalog.QUERIES["author_relations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((integer_id|author_id|_phd)#", plan)
+
+
+def test_blocks_and_many_vectors_change_nothing(spark, monkeypatch):
+    query = lambda: sorted(map(repr, catalog.QUERIES["author_relations"](spark, "/root/testdata/sf0.001").collect()))
+    whole = query()
+    monkeypatch.setattr(matching_queries, "_LINES_AT_ONCE", 2500)
+    monkeypatch.setattr(matching_queries, "_THESES_AT_ONCE", 600)
+    assert query() == whole
+    monkeypatch.setattr(matching_queries, "_MAX_BROADCAST_BYTES", 0)
+    assert query() == whole

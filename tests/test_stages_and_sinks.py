@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 from pathlib import Path
 
@@ -152,3 +153,18 @@ def test_relations_leave_two_stages_only(spark, lists):
     matching_queries.relations(spark, "/root/testdata/sf0.001", lists=lists)
     left = there() - before
     assert len(left) == 2 and all(name.startswith("stage-") for name in left)
+
+
+def test_what_was_moved_for_a_stage_is_gone_when_it_is_written(spark):
+    def moved() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = moved()
+    df, path = stages.written(spark.range(1000).repartition(3, "id"))
+    for _ in range(20):
+        if not moved() - before:
+            break
+        time.sleep(0.2)
+    assert not moved() - before and df.distinct().count() == 1000
+    stages.remove(spark, path)

@@ -5,7 +5,7 @@ All steps are joins and aggregates over long tables; every relation is keyed by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,10 @@ from ..schemas import DUPLICATES, RELATIONS
 from ..stages import remove, written
 
 
+#: Lists of a candidate's works.
+WORK_LISTS = ("titles", "work_ids", "title_similarities")
+
+
 def _within(year: Column, base: Column, tolerance: int) -> Column:
     """A closed window on the side of the tolerance's sign; 0 is the year itself."""
     return year.between(base + min(tolerance, 0), base + max(tolerance, 0))
@@ -23,10 +27,14 @@ def _within(year: Column, base: Column, tolerance: int) -> Column:
 
 def works_in_window(df: DataFrame, work_year: str, year: str, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Works up to ``years_after`` behind the year, without a lower bound if there is none; a null year is out."""
-    keep = F.col(work_year) <= F.col(year) + config.years_after
+    return df.where(_in_window(F.col(work_year), F.col(year), config))
+
+
+def _in_window(work_year: Column, year: Column, config: MatchConfig) -> Column:
+    keep = work_year <= year + config.years_after
     if config.years_before is not None:
-        keep &= F.col(work_year) >= F.col(year) - config.years_before
-    return df.where(keep)
+        keep &= work_year >= year - config.years_before
+    return keep
 
 
 def affiliation_match(affiliations: Column, institution: Column, year: Column, tolerance: int) -> Column:
@@ -59,9 +67,16 @@ def match_score(config: MatchConfig = MatchConfig()) -> Column:
     return F.col("n_close_matches") + config.exact_weight * flag("exact_match") + config.near_weight * flag("near_exact_match") + config.affiliation_weight * flag("affiliation_match")
 
 
-def _work_lists() -> list[Column]:
-    """Titles, ids and similarities of works as aggregates, from the most similar on."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("similarity"), F.lit(2.0)).alias("_k"), "work_id", "title", "similarity")))
+def _by_similarity(work_id: Column, title: Column, similarity: Column) -> Column:
+    """What works are sorted by: from the most similar on, those that can't be compared last."""
+    return F.struct(F.coalesce(-similarity, F.lit(2.0)).alias("_k"), work_id.alias("work_id"), title.alias("title"), similarity.alias("similarity"))
+
+
+def _work_lists(collected: Column | None = None) -> list[Column]:
+    """Titles, ids and similarities of works, from the most similar on: of an array of works, or as aggregates."""
+    if collected is None:
+        collected = F.collect_list(_by_similarity(F.col("work_id"), F.col("title"), F.col("similarity")))
+    pairs = F.sort_array(collected)
     return [F.transform(pairs, lambda x: x["title"]).alias("titles"), F.transform(pairs, lambda x: x["work_id"].cast("string")).alias("work_ids"), F.transform(pairs, lambda x: x["similarity"]).alias("title_similarities")]
 
 
@@ -77,14 +92,18 @@ def candidate_evidence(candidates: DataFrame, works: DataFrame, config: MatchCon
         F.max("similarity").alias("best"), F.count_if(t["close_match"]).cast("int").alias("n_close_matches"),
         *_work_lists(), F.lit(True).alias("has_works"),
     )
-    joined = candidates.join(by_work, ["integer_id", "author_id"], "left")
+    return _scored(candidates.join(by_work, ["integer_id", "author_id"], "left"), config)
+
+
+def _scored(joined: DataFrame, config: MatchConfig) -> DataFrame:
+    """Add tiers and score to candidates with best, n_close_matches, has_works and the lists of works, which may be null."""
     best = F.when(F.col("has_works"), F.col("best")).otherwise(F.lit(0.0))
     b = tiers(F.col("max_similarity"), config)
+    lists = {c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in WORK_LISTS if c in joined.columns}
     return (
         joined.withColumn("max_similarity", best).withColumn("n_close_matches", F.coalesce("n_close_matches", F.lit(0)))
         .withColumn("exact_match", b["exact_match"]).withColumn("near_exact_match", b["near_exact_match"])
-        .withColumn("titles", F.coalesce("titles", F.array().cast("array<string>"))).withColumn("title_similarities", F.coalesce("title_similarities", F.array().cast("array<double>")))
-        .withColumn("work_ids", F.coalesce("work_ids", F.array().cast("array<string>"))).withColumn("match_score", match_score(config)).drop("best", "has_works")
+        .withColumns(lists).withColumn("match_score", match_score(config)).drop("best", "has_works")
     )
 
 
@@ -102,22 +121,68 @@ def resolve_candidates(theses: DataFrame, search: DataFrame, name_pairs: DataFra
     rows. Names are joined first, works of the remaining candidates only, and years before similarity.
     Without ``lists`` the lists of its works are left to ``with_work_lists``.
     """
-    if config.max_candidates is not None:
-        search = search.where(F.col("api_rank") <= config.max_candidates)
-    counts = search.groupBy("query_name").agg(F.count("*").alias("n_name_search_matches"))
-    # names are settled for each query, not for each of its theses
-    known = search.join(authors, "author_id").join(name_pairs, (F.col("query_name") == F.col("left_name")) & (F.col("display_name") == F.col("right_name"))).drop("left_name", "right_name").join(counts, "query_name")
-    named = theses.join(known, theses["phd_name"] == known["query_name"])
-    fit = affiliation_match(F.col("affiliations"), F.col("institution"), F.col("year"), config.affiliation_tolerance)
-    carried = ["integer_id", "author_id", "display_name", "orcid", "api_rank", "n_name_search_matches"]
-    candidates, candidates_at = written(named.select(*carried, F.col("title").alias("thesis_title"), "year", fit.alias("affiliation_match")))
+    candidates, candidates_at = written(_candidates(theses, search, name_pairs, authors, config).select(*_CARRIED, *_facts(authors)))
     compared = _compared(candidates, authorships, works, similarity, config)
-    found = best_candidate(candidate_evidence(candidates, compared, config).drop("titles", "work_ids", "title_similarities"))
+    found = best_candidate(candidate_evidence(candidates, compared, config).drop(*WORK_LISTS))
     found, _ = written(found.withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking"))))
     remove(theses.sparkSession, candidates_at)
     return with_work_lists(found, authorships, works, similarity, config) if lists else found
 
 
+#: What is known of a candidate before its works are looked at.
+_CARRIED = ["integer_id", "author_id", "api_rank", "n_name_search_matches", "thesis_title", "year", "affiliation_match"]
+
+
+def _facts(authors: DataFrame) -> list[str]:
+    """Columns of authors that their theses keep."""
+    return [c for c in authors.columns if c not in ("author_id", "affiliations")]
+
+
+def _candidates(theses: DataFrame, search: DataFrame, name_pairs: DataFrame, authors: DataFrame, config: MatchConfig) -> DataFrame:
+    """The search hits of each thesis whose names agree, with the author's columns. Names are settled for each query, not for each of its theses."""
+    if config.max_candidates is not None:
+        search = search.where(F.col("api_rank") <= config.max_candidates)
+    counts = search.groupBy("query_name").agg(F.count("*").alias("n_name_search_matches"))
+    agreed = search.join(authors.select("author_id", "display_name"), "author_id").join(name_pairs, (F.col("query_name") == F.col("left_name")) & (F.col("display_name") == F.col("right_name")))
+    known = agreed.select("query_name", "author_id", "api_rank").join(counts, "query_name").join(authors, "author_id")
+    named = theses.withColumnRenamed("title", "thesis_title").join(known, F.col("phd_name") == F.col("query_name"))
+    return named.withColumn("affiliation_match", affiliation_match(F.col("affiliations"), F.col("institution"), F.col("year"), config.affiliation_tolerance))
+
+
+def works_by_author(authorships: DataFrame, works: DataFrame) -> DataFrame:
+    """(author_id, works): the works of each author in one array."""
+    return authorships.join(works, "work_id").groupBy("author_id").agg(F.collect_list(F.struct("work_id", "title", "publication_year")).alias("works"))
+
+
+def resolve_by_author(theses: DataFrame, search: DataFrame, name_pairs: DataFrame, authors: DataFrame, held: DataFrame, compare: Callable[[DataFrame], DataFrame], config: MatchConfig = MatchConfig()) -> DataFrame:
+    """As ``resolve_candidates`` without lists, where the similarity of a thesis and a work can be looked up: no row for each pair of them is made.
+
+    ``held`` is that of ``works_by_author``; ``compare`` adds to rows with integer_id and ``works`` the array ``similarities`` of these works.
+    All other columns of ``authors`` but the affiliations are kept.
+    """
+    candidates, candidates_at = written(_candidates(theses, search, name_pairs, authors, config).select(*_CARRIED))
+    rows = _compared_works(candidates.join(authors.select("author_id", *_facts(authors)), "author_id"), held, compare, config)
+    close = F.filter("_compared", lambda x: tiers(x["similarity"], config)["close_match"])
+    rows = rows.withColumns({"best": F.array_max(F.transform("_compared", lambda x: x["similarity"])), "n_close_matches": F.size(close), "has_works": F.size("_compared") > 0})
+    found, _ = written(best_candidate(_scored(rows.drop("_compared"), config)).withColumn("phd_match_by", F.when(F.col("match_score") > 0, F.lit("ranking"))))
+    remove(theses.sparkSession, candidates_at)
+    return found
+
+
+def _compared_works(rows: DataFrame, held: DataFrame, compare: Callable[[DataFrame], DataFrame], config: MatchConfig) -> DataFrame:
+    """Add ``_compared``, the works in the window as ``_by_similarity`` has them, to rows with integer_id, author_id and year; an empty array if there are none."""
+    within = F.filter("works", lambda w: _in_window(w["publication_year"], F.col("year"), config))
+    compared = compare(rows.join(held, "author_id", "left").withColumn("works", F.coalesce(within, F.filter("works", lambda w: F.lit(False)))))
+    pairs = F.zip_with("works", "similarities", lambda w, s: _by_similarity(w["work_id"], w["title"], s))
+    return compared.withColumn("_compared", F.coalesce(pairs, F.array())).drop("works", "similarities")
+
+
+def with_held_lists(best: DataFrame, held: DataFrame, compare: Callable[[DataFrame], DataFrame], config: MatchConfig = MatchConfig()) -> DataFrame:
+    """As ``with_work_lists``; lists are made where the author's works are, and are not moved."""
+    rows = _compared_works(best, held, compare, config)
+    return rows.withColumns(dict(zip(WORK_LISTS, _work_lists(F.col("_compared"))))).drop("_compared")
+
+
 def _compared(candidates: DataFrame, authorships: DataFrame, works: DataFrame, similarity: Callable[[DataFrame], DataFrame], config: MatchConfig) -> DataFrame:
     """The works in the window of each (integer_id, author_id, thesis_title, year), with their similarity."""
     wide = candidates.select("integer_id", "author_id", "thesis_title", "year").join(authorships.join(works, "work_id"), "author_id")
@@ -176,8 +241,11 @@ def candidate_lists(candidates: DataFrame, pilot: DataFrame, keys: list[str]) ->
     )
 
 
-def evidence_rows(joined: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """The evidence of contributors: rows with the columns of ``candidate_lists``, n_shared_inst_grad, n_shared_pubs, shared_pubs, _shared and _co; nulls are defaults."""
+def evidence_rows(joined: DataFrame, config: MatchConfig = MatchConfig(), kept: Iterable[str] = ()) -> DataFrame:
+    """The evidence of contributors: rows with the columns of ``candidate_lists``, n_shared_inst_grad, n_shared_pubs, shared_pubs, _shared and _co; nulls are defaults.
+
+    A row without contributor_rank has no contributor, and no evidence. Columns named by ``kept`` are kept.
+    """
     keys = ["integer_id", "contributor_rank"]
     strings = F.array().cast("array<string>")
     same = F.coalesce(F.array_contains("_shared", F.col("institution")), F.lit(False))
@@ -185,12 +253,15 @@ def evidence_rows(joined: DataFrame, config: MatchConfig = MatchConfig()) -> Dat
     rules = {"shared_affiliation": n_aff > 0, "shared_publication": n_pub > 0, "same_grad_institution": same}
     confirmed = rules[config.confirm_rule]
     coauthor = F.coalesce("_co", F.lit(False)) if config.thesis_id_mode == "work_id" else F.lit(False)
-    return joined.select(
-        *keys, "contributor_name_source", *[F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("name_matches_catalogue", "contributor_name", "contributor_id", "contributor_orcid") if c in joined.columns],
+    evidence = [
+        *[F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("name_matches_catalogue", "contributor_name", "contributor_id", "contributor_orcid") if c in joined.columns],
         confirmed.alias("contributor_confirmed"), F.when(confirmed, F.lit(config.confirm_text)).otherwise(F.lit("")).alias("sup_match_by"), same.alias("same_grad_inst"),
         n_aff.alias("n_shared_inst_grad"), F.coalesce("is_sup_in_pilot_dataset", F.lit(False)).alias("is_sup_in_pilot_dataset"), n_pub.alias("n_shared_pubs"),
         F.coalesce(F.col("shared_pubs").cast("array<string>"), strings).alias("shared_pubs"), coauthor.alias("is_thesis_coauthor"),
-    )
+    ]
+    there = F.col("contributor_rank").isNotNull()
+    rows = joined.select(*kept, *keys, "contributor_name_source", *evidence)
+    return rows.withColumns({c: F.when(there, F.col(c)) for c in rows.columns[-len(evidence) :]})
 
 
 def assemble(theses: DataFrame, best: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -199,12 +270,20 @@ def assemble(theses: DataFrame, best: DataFrame, evidence: DataFrame) -> DataFra
     A found candidate names the PhD; a similarity of 0 and empty lists become null. In the placeholder
     row the catalogue titles are null, elsewhere the source title stands in for an empty list.
     """
-    found = best.select(
-        "integer_id", F.col("display_name").alias("_name"), F.col("author_id").alias("phd_id"), F.nullif("orcid", F.lit("")).alias("phd_orcid"), F.col("n_name_search_matches").cast("int").alias("n_name_search_matches"),
+    return result_rows(theses.join(best.select("integer_id", *found_columns()), "integer_id", "left").join(evidence, "integer_id", "left"))
+
+
+def found_columns() -> list[Column]:
+    """What the result has of the best candidate."""
+    return [
+        F.col("display_name").alias("_name"), F.col("author_id").alias("phd_id"), F.nullif("orcid", F.lit("")).alias("phd_orcid"), F.col("n_name_search_matches").cast("int").alias("n_name_search_matches"),
         F.col("titles").alias("_titles"), F.when(F.size("title_similarities") > 0, F.col("title_similarities")).alias("title_similarities"), F.nullif("max_similarity", F.lit(0.0)).alias("max_title_similarity"),
         "n_close_matches", "exact_match", "near_exact_match", "affiliation_match", F.col("match_score").alias("phd_match_score"), "phd_match_by",
-    )
-    rows = theses.join(found, "integer_id", "left").join(evidence, "integer_id", "left")
+    ]
+
+
+def result_rows(rows: DataFrame) -> DataFrame:
+    """The result of rows that have the columns of a thesis, ``found_columns`` and the evidence of a contributor, or nulls for it."""
     some = F.size("_titles") > 0
     titles = F.when(F.coalesce(some, F.lit(False)), F.col("_titles")).when(F.col("contributor_rank").isNotNull(), F.array("title"))
     rows = (
