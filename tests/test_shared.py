@@ -5,10 +5,15 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from threadmill import catalog
+from threadmill.functions.vectors import dot, unit
 from threadmill.operators.shared import shared_by_group
+from threadmill.operators.similarity import VectorTable, similar_to_each
 from threadmill.plans import matching_queries
 
 
@@ -81,3 +86,42 @@ def test_blocks_and_many_vectors_change_nothing(spark, monkeypatch):
     assert query() == whole
     monkeypatch.setattr(matching_queries, "_MAX_BROADCAST_BYTES", 0)
     assert query() == whole
+
+
+def test_more_vectors_than_can_be_broadcast_are_not_moved(spark, monkeypatch):
+    """They are compared where the theses are: a row for each thesis and work, with two vectors, was moved."""
+    query = lambda: sorted(map(repr, catalog.QUERIES["phd_flags"](spark, "/root/testdata/sf0.001").collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        few = query()
+        between = shuffled(spark)
+        monkeypatch.setattr(matching_queries, "_MAX_BROADCAST_BYTES", 0)
+        many = query()
+        after = shuffled(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert many == few and after - between < 0.25 * (between - before)
+
+
+def test_vectors_that_are_too_many_to_send_change_nothing(spark, monkeypatch):
+    query = lambda: sorted(map(repr, catalog.QUERIES["resolve_phd"](spark, "/root/testdata/sf0.001").collect()))
+    few = query()
+    monkeypatch.setattr(matching_queries, "_MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(matching_queries, "_MAX_SENT_BYTES", 0, raising=False)
+    assert query() == few
+
+
+def test_vectors_by_place_are_compared_as_spark_does(spark):
+    vectors = {0: [1.0, 2.0], 1: [2.0, -1.0], 2: [0.0, 0.0], 3: [1.0], 4: [], 6: [float("nan"), 1.0], 7: [3.0, 4.5]}
+    sent = VectorTable(np.array(list(vectors)), pa.chunked_array([pa.array(list(vectors.values())[:4], pa.list_(pa.float32())), pa.array(list(vectors.values())[4:], pa.list_(pa.float32()))]), 8)
+    places = [0, 1, 2, 3, 4, 6, 7, -1, 8]
+    rows = spark.createDataFrame([(a, b) for a in range(-1, 9) for b in (places, [], None)], "a long, b array<long>")
+    known = spark.createDataFrame([(a, b, vectors[a], vectors[b]) for a in vectors for b in vectors], "a long, b long, x array<float>, y array<float>")
+    expected = {(r["a"], r["b"]): r["s"] for r in known.select("a", "b", F.round(dot(unit(F.col("x")), unit(F.col("y"))), 6).alias("s")).collect()}
+    for r in rows.select("a", "b", similar_to_each(spark.sparkContext.broadcast(sent))("a", "b").alias("s")).collect():
+        if r["a"] not in vectors:
+            assert r["s"] is None
+        else:
+            assert len(r["s"]) == len(r["b"] or []) and all(repr(s if s is None else round(s, 6)) == repr(expected.get((r["a"], b))) for s, b in zip(r["s"], r["b"] or []))

@@ -1,4 +1,4 @@
-"""Title similarity by hashed character n-grams, the default encoder."""
+"""Title similarity by hashed character n-grams, the default encoder, and vectors that are compared by place."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,3 +123,53 @@ def _against(texts: DataFrame, block: pa.Table, text_id: str, reference_id: str,
                 yield pa.RecordBatch.from_arrays([left, right, pa.array(similarity, mask=np.isnan(similarity))], names=[text_id, reference_id, "similarity"])
 
     return run
+
+
+#: A worker has so many pairs of vectors in memory at once.
+_COSINES_AT_ONCE = 20_000
+
+
+class VectorTable:
+    """Vectors by place, to compare any two of them. A vector without numbers can't be compared, nor two of different lengths."""
+
+    def __init__(self, places: np.ndarray, embeddings: pa.ChunkedArray, n: int):
+        self.present, self.size, self.length = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n)
+        longest = max((int(pc.max(pc.list_value_length(c)).as_py() or 0) for c in embeddings.chunks), default=0)
+        self.vectors = np.zeros((n, longest), embeddings.type.value_type.to_pandas_dtype())
+        at = 0
+        for chunk in embeddings.chunks:
+            values, ends = chunk.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(chunk).to_numpy()))
+            for place, lo, hi in zip(places[at : at + len(chunk)], ends, ends[1:]):
+                self.vectors[place, : hi - lo], self.size[place], self.present[place] = values[lo:hi], hi - lo, True
+            at += len(chunk)
+        for lo in range(0, n, _COSINES_AT_ONCE):
+            x = self.vectors[lo : lo + _COSINES_AT_ONCE].astype(float)
+            self.length[lo : lo + _COSINES_AT_ONCE] = np.sqrt(np.einsum("ij,ij->i", x, x))
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the vectors at the places ``a`` and ``b``, and which of them are known."""
+        out = np.empty(len(a))
+        for lo in range(0, len(a), _COSINES_AT_ONCE):
+            one, other = (self.vectors[x[lo : lo + _COSINES_AT_ONCE]].astype(float) for x in (a, b))
+            out[lo : lo + _COSINES_AT_ONCE] = np.einsum("ij,ij->i", one, other)
+        with np.errstate(all="ignore"):
+            out /= self.length[a] * self.length[b]
+        return out, (self.size[a] == self.size[b]) & (self.length[a] != 0) & (self.length[b] != 0)
+
+
+def similar_to_each(sent: Broadcast) -> Callable[..., Column]:
+    """A function of a place and an array of places of the ``VectorTable`` sent: the array of their cosines; null if nothing is at the place."""
+
+    @F.arrow_udf("array<double>")
+    def similar(place: pa.Array, places: pa.Array) -> pa.Array:
+        table = sent.value
+        n = len(table.present)
+        count = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+        a, b = pc.fill_null(place, -1).to_numpy(zero_copy_only=False), pc.fill_null(places.flatten(), -1).to_numpy(zero_copy_only=False)
+        (a, there), (b, inside) = ((np.clip(x, 0, n - 1), (x >= 0) & (x < n)) for x in (a, b))
+        there &= table.present[a]
+        out, known = table.similar(np.repeat(a, count), b)
+        ends = np.append(0, np.cumsum(count)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out, mask=~(known & inside)), mask=pa.array(~there))
+
+    return similar
